@@ -131,5 +131,74 @@ def blob_shuffle(df: DataFrame, width: int) -> DataFrame:
     return df.repartitionById(width, F.col("part"))
 
 
-def record_arrays(batch: pa.RecordBatch, name: str) -> list[memoryview]:
-    return [x.as_buffer() for x in batch.column(name)]
+#: A key is hot when it has more than this share of the rows; fewer than 1 / HOT_SHARE keys can be.
+HOT_SHARE = 1 / 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of rows with one row per key, where ``size`` is the key's number of rows.
+
+    Hot keys, at most 1 / HOT_SHARE of them, are joined by broadcast, so none of them lands in one task; all others by a shuffle.
+    """
+    least = rows.count() * HOT_SHARE
+    hot = F.broadcast(groups.filter(F.col(size) > least))
+    cold = groups.filter(F.col(size) <= least)
+    rest = rows.join(F.broadcast(groups.filter(F.col(size) > least).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of the rows that agree in the first ``keys`` columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(i)) for i in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and last != tuple(c[0] for c in columns)
+        at = 0
+        for cut in [*np.flatnonzero(change), batch.num_rows]:
+            if cut in (0,) or change[at]:
+                if held:
+                    yield pa.Table.from_batches(held)
+                held = []
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            at = int(cut)
+            if at == batch.num_rows:
+                break
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of an edge (a, b) is connected to.
+
+    Alternating large and small stars: every round links each node's larger, then its smaller neighbours to its smallest one. The number
+    of edges never grows, the number of rounds is logarithmic, and each round is written to the shared work folder.
+    """
+
+    def smallest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+
+    def state(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    seen = state(edges)
+    while seen[0]:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = both.join(smallest(both), "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
+        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        low = smallest(down)
+        small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        edges = materialise(small.filter("a < b").distinct())
+        now = state(edges)
+        if now == seen:
+            break
+        seen = now
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

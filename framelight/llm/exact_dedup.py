@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialise, shuffle_width
+from .common import SPACES, join_groups, materialise, shuffle_width
 
 FAN_IN = 16
-#: A digest is hot when it has more than this share of the rows; fewer than 1 / HOT_SHARE digests can be.
-HOT_SHARE = 1 / 1000
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -56,15 +54,10 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     Texts are equal when identical without ASCII white space. A null text counts as empty, so nulls, empty and blank
     texts are one group. Of equal texts the one with most code points, then with the smallest doc_id, stays; rows that
     repeat a doc_id with its text stay or go together. A null doc_id loses every tie. Other columns are not looked at.
-    An empty table gives an empty result. Hot digests are joined by broadcast: there are at most 1 / HOT_SHARE of them.
+    An empty table gives an empty result. Hot digests, a bounded number, are joined by broadcast.
     """
     rows = materialise(digests(docs))
     groups = materialise(merge_runs(rows, fan_in))
     keys = ["text_sha256", "norm_bytes", "norm_check"]
-    total = rows.count()
-    hot = groups.filter(F.col("group_size") > total * HOT_SHARE)
-    marked = rows.join(F.broadcast(hot), keys, "left")
-    out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-    of_hot = marked.filter("group_size is not null").select(*out)
-    cold = marked.filter("group_size is null").select("doc_id", *keys)
-    return cold.join(groups.filter(F.col("group_size") <= total * HOT_SHARE), keys).select(*out).unionByName(of_hot)
+    joined = join_groups(rows, groups, keys, "group_size")
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

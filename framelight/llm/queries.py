@@ -53,8 +53,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import ngram_jaccard
+
+    return ngram_jaccard(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_score
+
+    return lm_score(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_harmonic_packing, op3_separator_scan, op4_url_filter, op5_exact_dedup, op7_decontamination, op8_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_harmonic_packing, op3_separator_scan, op4_url_filter, op5_exact_dedup, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_lm_scoring)}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
