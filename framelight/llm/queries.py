@@ -41,6 +41,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -66,7 +72,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_harmonic_packing, op3_separator_scan, op4_url_filter, op5_exact_dedup, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_harmonic_packing, op3_separator_scan, op4_url_filter, op5_exact_dedup, op6_substring_dedup, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_lm_scoring)}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
