@@ -133,8 +133,21 @@ def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest node, other node) that connect what the edges a-b connect; fewer than there are nodes."""
+    if not len(a):
+        return a, b
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low = names[min_labels(len(names), at[: len(a)], at[len(a) :])]
+    return low[low != names], names[low != names]
+
+
 def candidate_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of documents that are connected by shared signatures; all others have no link to a different set."""
+    """(node, component) of documents that are connected by shared signatures; all others have no link to a different set.
+
+    A task links the documents of each of its signatures to the smallest and keeps a forest; the forests of all tasks are merged by document,
+    so that an edge found by many tasks is passed on once.
+    """
     width = shuffle_width(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,17 +192,24 @@ def candidate_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
         order = np.argsort(sig, kind="stable")
         sig, doc = sig[order], doc[order]
         new = np.concatenate([[True], sig[1:] != sig[:-1]])
-        group = np.cumsum(new) - 1
-        low = np.minimum.reduceat(doc, np.flatnonzero(new))[group]
-        a, b = low[doc != low], doc[doc != low]
-        if len(a):
-            names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            label = min_labels(len(names), at[: len(a)], at[len(a) :])
-            a, b = names[label], names
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+        low = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+        a, b = forest(low[doc != low], doc[doc != low])
+        to = (mix(b.view(U64)) % U64(width)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        a, b, cuts = a[order], b[order], np.searchsorted(to[order], np.arange(width + 1))
+        parts = np.flatnonzero(np.diff(cuts))
+        if len(parts):
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.stack([a[cuts[p] : cuts[p + 1]], b[cuts[p] : cuts[p + 1]]]).tobytes() for p in parts], pa.binary())], names=["part", "payload"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for batch in batches for x in batch.column(1)]
+        if pairs:
+            a, b = forest(*np.concatenate(pairs, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     blobs = docs.select("doc_id", "text").mapInArrow(emit, "part int, payload binary")
-    return connected_components(blob_shuffle(blobs, width).mapInArrow(gather, "a bigint, b bigint"))
+    forests = blob_shuffle(blobs, width).mapInArrow(gather, "part int, payload binary")
+    return connected_components(blob_shuffle(forests, width).mapInArrow(merge, "a bigint, b bigint"))
 
 
 def group_links(ids: np.ndarray, weights: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
