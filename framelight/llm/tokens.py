@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,13 @@ from .common import work_path
 CACHE_WORDS = 250_000
 #: str.split takes these for white space, the tokenizer's pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Words of printable ASCII and Latin-1 letters: their pieces by the tokenizer's pattern, after lower-casing, need no Unicode tables.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+#: The short way through plain words holds for this normaliser alone; with any other, every word takes the tokenizer's own way.
+_NORMALIZER = r'''{"type":"Sequence","normalizers":[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\s+"},"content":" "},{"type":"Lowercase"}]}'''
 
 
 class WordEncoder:
@@ -25,12 +34,32 @@ class WordEncoder:
     """
 
     def __init__(self, path: str | None = None, special_as_text: bool = False) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; its threads would only wait for each other
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.model.encode_special_tokens = special_as_text
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in the byte-level alphabet
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.plain = json.loads(self.model.to_str())["normalizer"] == json.loads(_NORMALIZER)
+
+    def _plain_ids(self, word: str) -> bytes:
+        """Ids of a plain word: its pieces go to the merge table directly."""
+        out = []
+        for piece in _PIECES.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                if len(self.pieces) > CACHE_WORDS // 4:
+                    self.pieces.clear()
+                shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                ids = self.pieces[piece] = array("I", [t.id for t in self.model.model.tokenize(shown)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -44,7 +73,9 @@ class WordEncoder:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
             missing = list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None))
-            fresh = dict(zip(missing, self._ids(missing), strict=True))
+            fresh = {w: self._plain_ids(w) for w in missing if _PLAIN.fullmatch(w) and "<|" not in w} if self.plain else {}
+            other = [w for w in missing if w not in fresh]
+            fresh.update(zip(other, self._ids(other), strict=True))
             found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
             self.cache.update(fresh)
         return b"".join(found)
