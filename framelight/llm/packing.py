@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 CAPACITY, END_ID = 4096, 2
 #: A piece may leave this share of its slot empty; else it is cut to the next class.
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     spark = docs.sparkSession
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         end = int(end_id).to_bytes(4, "little")
 
         def encoded() -> Iterator[tuple[int, bytes]]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from .common import work_path
 
 #: Entries that a worker's cache of words holds before it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+#: The same for its cache of pieces, which most new words are made of.
+CACHE_PIECES = 250_000
 #: str.split takes these for white space, the tokenizer's pattern does not.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Words of printable ASCII and Latin-1 letters: their pieces by the tokenizer's pattern, after lower-casing, need no Unicode tables.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
@@ -27,6 +30,19 @@ _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[
 _NORMALIZER = r'''{"type":"Sequence","normalizers":[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\s+"},"content":" "},{"type":"Lowercase"}]}'''
 
 
+class _Cache(dict):
+    """A dict of at most ``size`` entries that computes what it lacks."""
+
+    def __init__(self, compute: Callable[[str], bytes], size: int) -> None:
+        self.compute, self.size = compute, size
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.size:
+            self.clear()
+        value = self[key] = self.compute(key)
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer whose pieces never cross white space.
 
@@ -42,43 +58,39 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.model.encode_special_tokens = special_as_text
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.merges = self.model.model
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in the byte-level alphabet
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.plain = json.loads(self.model.to_str())["normalizer"] == json.loads(_NORMALIZER)
+        self.pieces = _Cache(self._piece_ids, CACHE_PIECES)
+        plain = json.loads(self.model.to_str())["normalizer"] == json.loads(_NORMALIZER)
+        self.words = _Cache(self._plain_ids if plain else self._whole_ids, CACHE_WORDS)
+
+    def _piece_ids(self, piece: str) -> bytes:
+        """Ids of one lower-case piece, by the merge table."""
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
 
     def _plain_ids(self, word: str) -> bytes:
-        """Ids of a plain word: its pieces go to the merge table directly."""
-        out = []
-        for piece in _PIECES.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) > CACHE_WORDS // 4:
-                    self.pieces.clear()
-                shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-                ids = self.pieces[piece] = array("I", [t.id for t in self.model.model.tokenize(shown)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of a word; if it is plain, its pieces go to the merge table directly."""
+        if word.isalpha() and word.isascii():
+            return self.pieces[word.lower()]
+        if "<|" in word or not _PLAIN.fullmatch(word):
+            return self._whole_ids(word)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+
+    def _whole_ids(self, text: str) -> bytes:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._ids([text])[0]
-        words = text.split()
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            missing = list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None))
-            fresh = {w: self._plain_ids(w) for w in missing if _PLAIN.fullmatch(w) and "<|" not in w} if self.plain else {}
-            other = [w for w in missing if w not in fresh]
-            fresh.update(zip(other, self._ids(other), strict=True))
-            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            self.cache.update(fresh)
-        return b"".join(found)
+        if any(map(text.__contains__, _ODD)):
+            return self._whole_ids(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str | None = None) -> WordEncoder:
+    """The encoder of this process: tasks that a worker runs one after another share its caches."""
+    return WordEncoder(path)
 
 
 END_ID, WIDTH = 2, 2
