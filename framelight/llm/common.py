@@ -179,11 +179,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge (a, b) is connected to.
 
     Alternating large and small stars: every round links each node's larger, then its smaller neighbours to its smallest one. The number
-    of edges never grows, the number of rounds is logarithmic, and each round is written to the shared work folder.
+    of edges never grows, the number of rounds is logarithmic, and each step is written to the shared work folder. The centre of a large
+    component is a key with a large share of the edges: such keys are joined by broadcast (``join_groups``).
     """
 
-    def smallest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    def stars(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (u, v) with m, the smallest of u and its neighbours v; and one row (u, m, size) for each u."""
+        least = materialise(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("size")))
+        return join_groups(pairs, least, ["u"], "size"), least
 
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -192,10 +195,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = state(edges)
     while seen[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.join(smallest(both), "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = smallest(down)
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        large = stars(both)[0].filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b")
+        down, low = stars(materialise(large.distinct()).select(F.col("b").alias("u"), F.col("a").alias("v")))
+        small = down.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
         edges = materialise(small.filter("a < b").distinct())
         now = state(edges)
         if now == seen:
