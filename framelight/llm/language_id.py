@@ -103,13 +103,25 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) ->
     return model
 
 
+def lowest_places(ids: DataFrame, count: int) -> DataFrame:
+    """The rows (doc_id, lang) in the first 2^-16 parts of the hash range that hold ``count`` rows of their language.
+
+    The counts of the parts are made before any row is moved, so that ranking a common language meets about ``count`` rows in its task,
+    however many tasks read the table. What is looked up by broadcast is one row for each language.
+    """
+    placed = ids.withColumn("place", F.shiftright(F.xxhash64("doc_id"), 48))
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("place"))
+    last = placed.groupBy("lang", "place").count().withColumn("upto", upto).filter(F.col("upto") - F.col("count") < count).groupBy("lang").agg(F.max("place").alias("last"))
+    return placed.join(F.broadcast(last), "lang").filter("place <= last").select("doc_id", "lang")
+
+
 def fit_language(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> ByteCnn:
     """Learns from documents with text and lang outside the held-out fold: a bounded number of each language, so that rare ones count.
 
     The ids are ranked first, without texts; the texts of the chosen few are looked up by broadcast of their ids.
     """
     usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(crc_fold("doc_id", FOLDS) != HELD_OUT)
-    ranked = usable.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("r")).filter(F.col("r") <= docs_a_language)
+    ranked = lowest_places(usable.select("doc_id", "lang"), docs_a_language).select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("r")).filter(F.col("r") <= docs_a_language)
     chosen = F.broadcast(ranked.select("doc_id", "lang"))
     size = LENGTH * WINDOWS_A_DOC
     # a run of windows from a place in the text that the id's hash decides; only training looks at less than the whole text
