@@ -146,7 +146,8 @@ def candidate_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of documents that are connected by shared signatures; all others have no link to a different set.
 
     A task links the documents of each of its signatures to the smallest and keeps a forest; the forests of all tasks are merged by document,
-    so that an edge found by many tasks is passed on once.
+    so that an edge found by many tasks is passed on once. Signatures travel whole: their number grows with the input, and so would, with its
+    square, the number of documents that shortened ones chain together by chance.
     """
     width = shuffle_width(docs.sparkSession)
 
@@ -173,7 +174,7 @@ def candidate_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     if hi > lo:
                         there, local = np.unique(who[lo:hi], return_inverse=True)
                         parts.append(p)
-                        blobs.append(np.int64(len(there)).tobytes() + ids[there].tobytes() + local.astype("<u2").tobytes() + (sig[lo:hi] & U64(0xFFFFFFFF)).astype("<u4").tobytes())
+                        blobs.append(np.int64(len(there)).tobytes() + ids[there].tobytes() + local.astype("<u2").tobytes() + sig[lo:hi].astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "payload"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +183,9 @@ def candidate_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for x in batch.column(1):
                 raw = x.as_buffer()
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
-                m = (raw.size - 8 - 8 * n) // 6
+                m = (raw.size - 8 - 8 * n) // 10
                 docs_.append(np.frombuffer(raw, np.int64, n, 8)[np.frombuffer(raw, "<u2", m, 8 + 8 * n)])
-                sigs.append(np.frombuffer(raw, "<u4", m, 8 + 8 * n + 2 * m))
+                sigs.append(np.frombuffer(raw, "<u8", m, 8 + 8 * n + 2 * m))
         if not sigs:
             return
         sig, doc = np.concatenate(sigs), np.concatenate(docs_)
