@@ -2,48 +2,69 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, blob_shuffle, byte_words, crc_fold, materialise, prefix_hash, shuffle_width, span_hash, text_slices
+from .common import LOWER, NOT_SPACE, blob_shuffle, byte_words, crc_fold, materialise, mix, prefix_hash, shuffle_width, span_hash, text_slices
 
 FOLDS, HELD_OUT = 7, 2
 #: The fold of the training documents whose counts the mixture weights are fitted to.
 TUNING_FOLD = 3
-#: Words with at least this share of the training tokens are classes of their own, fewer than 1 / CLASS_SHARE; all others are one class.
-CLASS_SHARE = 1 / 400
-#: The classes among which the context before the last word is told apart; the commonest ones.
-FAR_CLASSES = 32
 BUCKETS = 40
 EM_ROUNDS = 30
+#: Text whose different n-grams are counted together before they are dealt out; a longer text is a block alone.
+BLOCK_BYTES = 1 << 23
+#: Steps an octave to which the ratios of two estimates are rounded where the weights are learned.
+STEPS = 64
 U64 = np.uint64
-END = U64(0x5EED0E2D)
-
-_COUNT = np.dtype([("h", "<u8"), ("main", "<u4"), ("tune", "<u4")])
-_CELL = np.dtype([("cell", "<u4"), ("main", "<u4"), ("tune", "<u4")])
-_TOKEN = np.dtype([("h", "<u8"), ("context", "<u2"), ("doc", "<u2")])
-_BLOBS = "part int, payload binary"
-
-
-def _blobs(parts: list[int], payloads: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(payloads, pa.binary())], names=["part", "payload"])
-
-
-def _split(record: np.ndarray, to: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(to, kind="stable")
-    record, cuts = record[order], np.searchsorted(to[order], np.arange(width + 1))
-    for p in range(width):
-        if cuts[p + 1] > cuts[p]:
-            yield p, record[cuts[p] : cuts[p + 1]]
+END, START = U64(0x5EED0E2D), U64(0x57A27ED0)
+_MIX = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+_ZSTD = pa.Codec("zstd", compression_level=3)
+_BLOBS = "part int, key binary, kind int, payload binary"
+#: Kinds of blobs: counts asked for or told, texts, totals, and what the tuning fold's tokens tell about the weights.
+_COUNTS, _TEXTS, _TOTALS, _TUNING = range(4)
+
+
+def _blobs(rows: list[tuple[int, bytes, int, bytes]]) -> pa.RecordBatch:
+    part, key, kind, payload = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(key, pa.binary()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], names=["part", "key", "kind", "payload"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, int, bytes]]:
+    for batch in batches:
+        yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed byte planes: the upper bytes of small numbers take no room."""
+    out = []
+    for x in arrays:
+        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+        packed = _ZSTD.compress(raw, asbytes=True) if raw else b""
+        out += [np.array([len(raw), len(packed)], np.int64).tobytes(), packed]
+    return b"".join(out)
+
+
+def _unpack(payload: bytes, *types: str) -> list[np.ndarray]:
+    out, at = [], 0
+    for t in types:
+        size, packed = (int(x) for x in np.frombuffer(payload, np.int64, 2, at))
+        raw = _ZSTD.decompress(payload[at + 16 : at + 16 + packed], size, asbytes=True) if size else b""
+        at += 16 + packed
+        width = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(t).reshape(-1))
+    return out
 
 
 def _part(h: np.ndarray, width: int) -> np.ndarray:
-    return ((h >> U64(32)) % U64(width)).astype(np.int64)
+    """Ranges of hashes, so that sorted hashes stay in order and lie close to each other."""
+    return ((h >> U64(32)) * U64(width) >> U64(32)).astype(np.int64)
 
 
 def token_slices(texts: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -56,108 +77,127 @@ def token_slices(texts: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[in
         yield a, b, np.insert(h, at, END), np.insert(row, at, np.arange(b - a))
 
 
-@dataclass
-class Vocabulary:
-    """Classes of words: 0 all rare words, 1.. the frequent words, then the end; contexts have the start besides."""
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Row of each token, whether it is the row's first, and the hashes of the uni-, bi- and trigram that end in it; rows begin with two starts."""
+    got = [(h, a + row) for a, _, h, row in token_slices(texts)]
+    h, row = (np.concatenate(x) for x in zip(*got, strict=True))
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    grams = [h]
+    for k in _MIX:
+        before = np.concatenate([[START], grams[-1][:-1]])
+        before[first] = START
+        grams.append(mix(before * k + h))
+    return row, first, grams
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array, np.ndarray, int, int, pa.RecordBatch]]:
+    """(key, texts, folds, first row, end row, batch) of blocks of rows (text, fold, ...). Blocks with equal keys have equal texts and folds, so equal counts."""
+    for batch in batches:
+        fold = np.asarray(batch.column(1).fill_null(-1), np.int64)
+        for a, b, data, offsets in text_slices(batch.column(0), BLOCK_BYTES):
+            texts = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+            key = hashlib.blake2b(digest_size=16)
+            for x in (np.ascontiguousarray(data), offsets, fold[a:b]):
+                key.update(x.tobytes())
+            yield key.digest(), texts, fold[a:b], a, b, batch
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """Written to the shared work folder; the shuffle files that led there are removed, as nothing reads them again."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return materialise(df)
+    finally:
+        conf.set(name, before)
+
+
+def count_grams(docs: DataFrame, width: int) -> DataFrame:
+    """Blobs of every token's counts of its uni-, bi- and trigram in the training documents; of totals; and of the tuning fold's counts.
+
+    Each block's different n-grams go by hash to the tasks that count them, and the counts come back to the block's texts. All n-grams are
+    counted, as words are; an n-gram in all texts is one entry a block. ``docs``: text, fold, doc_id.
+    """
 
-    tokens: int
-    types: int
-    #: Tokens of rare words without the tuning fold.
-    rare_main: int
-    hashes: np.ndarray
-    ids: np.ndarray
-    counts: np.ndarray
-    ends: int
-    #: For each count of a rare word without the tuning fold, the tokens of such words in that fold.
-    levels: np.ndarray
-
-    @property
-    def end(self) -> int:
-        return len(self.hashes) + 1
-
-    @property
-    def classes(self) -> int:
-        return len(self.hashes) + 2
-
-    def encode(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == h, self.ids[at], 0)
-        return np.where(h == END, self.end, out)
-
-    def far(self, c: np.ndarray) -> np.ndarray:
-        """Coarser classes of the word before the last: the commonest words, end, start, and one for all others."""
-        return np.where(c >= self.end, FAR_CLASSES + c - self.end, np.where(c < FAR_CLASSES, c, 0))
-
-    def contexts(self, c: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of the token before and far class of the one before that; start where a row begins."""
-        start = self.end + 1
-        one = np.concatenate([[start], c[:-1]])
-        first = np.concatenate([[True], row[1:] != row[:-1]])
-        one[first] = start
-        two = np.concatenate([[start], one[:-1]])
-        two[first] = start
-        return one, self.far(two)
-
-    @property
-    def near(self) -> int:
-        return self.classes + 1
-
-    @property
-    def bigram_cells(self) -> int:
-        return self.near * self.classes
-
-    def cells(self, c: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return one * self.classes + c, self.bigram_cells + (two * self.near + one) * self.classes + c
-
-
-def count_words(docs: DataFrame, width: int) -> DataFrame:
-    """Counts of all words of all training documents: each batch's distinct words are counted first and then dealt out by hash."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fold = np.asarray(batch.column(1).fill_null(-1))
-            held = []
-            for a, _, h, row in token_slices(batch.column(0)):
-                use = fold[a + row]
-                names, at = np.unique(h[use != HELD_OUT], return_inverse=True)
-                record = np.zeros(len(names), _COUNT)
-                tune = use[use != HELD_OUT] == TUNING_FOLD
-                record["h"], record["tune"] = names, np.bincount(at[tune], minlength=len(names))
-                record["main"] = np.bincount(at, minlength=len(names)) - record["tune"]
-                held.append(record)
-            if held and len(record := _sum(np.concatenate(held), "h")):
-                yield _blobs(*zip(*((p, x.tobytes()) for p, x in _split(record, _part(record["h"], width), width)), strict=True))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x.as_buffer(), _COUNT) for b in batches for x in b.column(1)]
-        if not held:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, texts, fold, *_ in _blocks(batches):
+            row, _, grams = _grams(texts)
+            use = fold[row]
+            train, tune = use != HELD_OUT, use == TUNING_FOLD
+            orders = []
+            for h in grams:
+                names, at = np.unique(h, return_inverse=True)
+                counts = [np.bincount(at[chosen], minlength=len(names)).astype(np.uint32) for chosen in (train, tune)]
+                orders.append((names, counts, np.searchsorted(_part(names, width), np.arange(width + 1))))
+            for p in range(width):
+                parts = []
+                for names, counts, cuts in orders:
+                    part = slice(cuts[p], cuts[p + 1])
+                    parts += [np.diff(names[part], prepend=U64(0)), *(c[part] for c in counts)]
+                if any(len(x) for x in parts):
+                    yield _blobs([(p, key, _COUNTS, _pack(*parts))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = list(_rows(batches))
+        if not asked:
             return
-        wide = np.dtype([("h", "<u8"), ("main", "<i8"), ("tune", "<i8")])
-        words = _sum(np.concatenate(held).astype(wide), "h")
-        main, tune = words["main"], words["tune"]
-        rows = [(0, 0, int(main.sum()), int(tune.sum())), (1, 0, len(words), 0)]
-        common = np.argsort(-(main + tune), kind="stable")[: int(1 / CLASS_SHARE)]
-        rows += [(4 if words["h"][i] == END else 2, int(words["h"][i].view(np.int64)), int(main[i]), int(tune[i])) for i in {*common.tolist(), *np.flatnonzero(words["h"] == END).tolist()}]
-        level, at = np.unique(_level(main), return_inverse=True)
-        rows += [(3, int(v), int(n), 0) for v, n in zip(level, np.bincount(at, tune), strict=True) if n]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["kind", "key", "main", "tune"])
-
-    return blob_shuffle(docs.select("text", "fold").mapInArrow(emit, _BLOBS), width).mapInArrow(gather, "kind int, key bigint, main bigint, tune bigint")
-
-
-def _sum(record: np.ndarray, key: str) -> np.ndarray:
-    """Records with equal keys added up."""
-    if not len(record):
-        return record
-    record = record[np.argsort(record[key], kind="stable")]
-    at = np.flatnonzero(np.concatenate([[True], record[key][1:] != record[key][:-1]]))
-    out = record[at]
-    for name in record.dtype.names:
-        if name != key:
-            out[name] = np.add.reduceat(record[name], at)
-    return out
+        told: list[list[np.ndarray]] = [[] for _ in asked]
+        for order in range(3):
+            got = [_unpack(x[3], *("<u8", "<u4", "<u4") * 3)[3 * order : 3 * order + 3] for x in asked]
+            names, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for x in got]), return_inverse=True)
+            total, tune = (np.bincount(at, np.concatenate([x[i] for x in got]), len(names)).astype(np.int64) for i in (1, 2))
+            if order == 0:
+                end = names == END
+                level, place = np.unique(_level(total - tune), return_inverse=True)
+                totals = np.array([total.sum(), tune.sum(), (total > 0).sum(), total[end].sum(), tune[end].sum()], np.int64)
+                yield _blobs([(asked[0][0], b"", _TOTALS, _pack(totals, level, np.bincount(place, tune, len(level)).astype(np.int64)))])
+            begin = 0
+            for out, x in zip(told, got, strict=True):
+                mine = at[begin : begin + len(x[0])]
+                begin += len(mine)
+                out += [total[mine], tune[mine]]
+        for (part, key, _, _), out in zip(asked, told, strict=True):
+            yield _blobs([(int.from_bytes(key[:4], "little") % width, key, _COUNTS, np.int64(part).tobytes() + _pack(*out))])
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, texts, fold, a, b, batch in _blocks(batches):
+            ids = batch.column(2).slice(a, b - a)
+            offsets, data = (np.frombuffer(x, t) for x, t in zip(texts.buffers()[1:], (np.int64, np.uint8), strict=True))
+            packed = _pack(data, np.diff(offsets), fold, np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.uint8))
+            yield _blobs([(int.from_bytes(key[:4], "little") % width, key, _TEXTS, packed)])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[bytes, dict[int, bytes]] = {}
+        texts: dict[bytes, list[bytes]] = {}
+        for _, key, kind, payload in _rows(batches):
+            if kind == _TOTALS:
+                yield _blobs([(0, b"", kind, payload)])
+            elif kind == _COUNTS:
+                told.setdefault(key, {})[int(np.frombuffer(payload, np.int64, 1)[0])] = payload[8:]
+            else:
+                texts.setdefault(key, []).append(payload)
+        if told.keys() != texts.keys():
+            raise ValueError("the documents came in other blocks when they were read again")
+        for key, same in texts.items():
+            got = [_unpack(x, *("<i8",) * 6) for _, x in sorted(told.pop(key).items())]
+            for payload in same:
+                data, sizes, fold, ids, null = _unpack(payload, "u1", "<i8", "<i8", "<i8", "u1")
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                row, first, grams = _grams(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+                tuning = fold[row] == TUNING_FOLD
+                every, main = [], []
+                for order, h in enumerate(grams):
+                    at = np.unique(h, return_inverse=True)[1]
+                    total, tune = (np.concatenate([x[2 * order + i] for x in got])[at] for i in (0, 1))
+                    every.append(total)
+                    main.append(total - tune)
+                contexts = [np.where(first, -1, np.concatenate([[0], x[:-1]]))[tuning] for x in main[:2]]
+                yield _blobs([(0, b"", _TEXTS, _pack(ids, null, fold, np.bincount(row, minlength=len(fold)), *every)), (0, b"", _TUNING, _pack(*(x[tuning] for x in main), *contexts))])
+
+    told = _settled(blob_shuffle(docs.select("text", "fold").mapInArrow(ask, _BLOBS), width).mapInArrow(count, _BLOBS))
+    texts = docs.select("text", "fold", F.col("doc_id").cast("long")).mapInArrow(texts_of, _BLOBS)
+    return _settled(blob_shuffle(told.unionByName(texts), width).mapInArrow(meet, _BLOBS))
 
 
 def _level(count: np.ndarray) -> np.ndarray:
@@ -166,65 +206,6 @@ def _level(count: np.ndarray) -> np.ndarray:
     return count // digits * digits
 
 
-def fit_vocabulary(docs: DataFrame, width: int) -> Vocabulary:
-    """Totals over the whole vocabulary and the frequent words, whose number the share bounds; the vocabulary itself stays distributed."""
-    counted = materialise(count_words(docs, width))
-    total = {r["kind"]: r for r in counted.filter("kind < 2").groupBy("kind").agg(F.sum("main").alias("main"), F.sum("tune").alias("tune")).collect()}
-    main, tune = (total[0]["main"], total[0]["tune"]) if 0 in total else (0, 0)
-    tokens, types = main + tune, total[1]["main"] if 1 in total else 0
-    common = counted.filter("kind = 2").withColumn("n", F.col("main") + F.col("tune")).orderBy(F.desc("n"), "key").limit(int(1 / CLASS_SHARE)).collect()
-    common = [r for r in common if r["n"] >= CLASS_SHARE * tokens]
-    end = counted.filter("kind = 4").first()
-    h = np.array([r["key"] for r in common], np.int64).view(U64)
-    order = np.argsort(h)
-    counts = np.array([r["n"] for r in common], np.int64)
-    histogram = {r["key"]: r["n"] for r in counted.filter("kind = 3").groupBy("key").agg(F.sum("main").alias("n")).collect()}
-    for r in [*common, *([end] if end else [])]:  # the rare words alone
-        at = int(_level(np.array(r["main"])))
-        histogram[at] = histogram.get(at, 0) - r["tune"]
-        main -= r["main"]
-    levels = np.array(sorted((k, n) for k, n in histogram.items() if n > 0), np.float64).reshape(-1, 2)
-    return Vocabulary(tokens, types, main, h[order], order + 1, counts, end["main"] + end["tune"] if end else 0, levels)
-
-
-def count_cells(docs: DataFrame, vocabulary: Vocabulary, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram and trigram counts of classes, of a fixed size: (without the tuning fold, of the tuning fold)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = vocabulary.bigram_cells + (FAR_CLASSES + 2) * vocabulary.near * vocabulary.classes
-    span = -(-size // width)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, counts = shared.value, np.zeros((2, size), np.uint32)
-        for batch in batches:
-            fold = np.asarray(batch.column(1).fill_null(-1))
-            for a, _, h, row in token_slices(batch.column(0)):
-                c = v.encode(h)
-                one, two = v.contexts(c, row)
-                use = fold[a + row]
-                for k, chosen in enumerate(((use != HELD_OUT) & (use != TUNING_FOLD), use == TUNING_FOLD)):
-                    for cells in v.cells(c[chosen], one[chosen], two[chosen]):
-                        at, n = np.unique(cells, return_counts=True)
-                        counts[k, at] += n.astype(np.uint32)
-        at = np.flatnonzero(counts.any(0))
-        record = np.zeros(len(at), _CELL)
-        record["cell"], record["main"], record["tune"] = at, counts[0, at], counts[1, at]
-        if len(record):
-            yield _blobs(*zip(*((p, x.tobytes()) for p, x in _split(record, at // span, width)), strict=True))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x.as_buffer(), _CELL) for b in batches for x in b.column(1)]
-        if held:
-            wide = np.dtype([("cell", "<i8"), ("main", "<i8"), ("tune", "<i8")])
-            yield _blobs([0], [_sum(np.concatenate(held).astype(wide), "cell").tobytes()])
-
-    got = blob_shuffle(docs.select("text", "fold").mapInArrow(emit, _BLOBS), width).mapInArrow(gather, _BLOBS).toArrow()
-    main, tune = np.zeros(size), np.zeros(size)
-    for x in got.column("payload"):
-        r = np.frombuffer(x.as_buffer(), [("cell", "<i8"), ("main", "<i8"), ("tune", "<i8")])
-        main[r["cell"]], tune[r["cell"]] = r["main"], r["tune"]
-    return main, tune
-
-
 def _bucket(context: np.ndarray) -> np.ndarray:
     """Contexts by the power of two of their frequency; contexts never seen are bucket 0."""
     return np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(np.int64), 0)
@@ -242,168 +223,113 @@ def em_weight(high: np.ndarray, low: np.ndarray, count: np.ndarray, bucket: np.n
     return np.clip(weight, 0, 0.999999)
 
 
+@dataclass
+class Vocabulary:
+    """Totals over the training documents. No word but the end has a count of its own here: the counts stay distributed."""
+
+    tokens: int
+    types: int
+    counts: np.ndarray
+    ends: int
+
+
 @dataclass
 class Interpolated:
-    """The mixture. A token of class c in context x has probability head[x, c] if c is a word of its own; else a[x] * n + b[x], n its count."""
+    """The mixture. A word counted n times has probability a * n + b without a context, the end head[0, 1]; bigrams and trigrams add to it by weight."""
 
     vocabulary: Vocabulary
     head: np.ndarray
     a: np.ndarray
     b: np.ndarray
-    weights: tuple[float, np.ndarray, np.ndarray, np.ndarray]
+    #: The share of unigram counts, and for each bucket of contexts those of bigrams and trigrams.
+    weights: tuple[float, np.ndarray, np.ndarray]
+
+    def mixed(self, counts: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        """Probabilities from the counts of uni-, bi- and trigram and of the contexts of the latter two, as far as given."""
+        p = self.a[0] * counts[0] + self.b[0]
+        for n, context, weight in zip(counts[1:], contexts, self.weights[1:], strict=False):
+            w = weight[_bucket(context)]
+            p = w * n / np.maximum(context, 1) + (1 - w) * p
+        return p
+
+
+def _learn(table: DataFrame, model: Interpolated, starts: int, order: int) -> np.ndarray:
+    """Weights of the n-grams of ``order``, from distributed sums of the tuning fold's tokens by bucket and rounded ratio to the lower estimate."""
 
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, payload in _rows(batches):
+            *counts, one, two = _unpack(payload, *("<i8",) * 5)
+            contexts = [np.where(x < 0, starts, x) for x in (one, two)]
+            low = model.mixed(counts[: order - 1], contexts)
+            high = counts[order - 1] / np.maximum(contexts[order - 2], 1)
+            ratio = np.where(high > 0, np.rint(STEPS * np.log2(np.maximum(high, 1e-300) / low)), -(1 << 20)).astype(np.int64)
+            cells, n = np.unique(np.stack([_bucket(contexts[order - 2]), ratio]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0]), pa.array(cells[1]), pa.array(n)], names=["bucket", "ratio", "n"])
 
-def fit_model(vocabulary: Vocabulary, main: np.ndarray, tune: np.ndarray) -> Interpolated:
-    """P3 = w3 ML3 + (1 - w3) P2, P2 = w2 ML2 + (1 - w2) P1, P1 = w1 ML1 + (1 - w1) / classes, all of classes of words.
+    sums = table.filter(F.col("kind") == _TUNING).mapInArrow(ratios, "bucket bigint, ratio bigint, n bigint").groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).toArrow()
+    bucket, ratio, n = (np.asarray(sums.column(c), np.int64) for c in ("bucket", "ratio", "n"))
+    return em_weight(np.exp2(ratio / STEPS), np.ones(len(n)), n.astype(np.float64), bucket)
 
-    A rare word has of its class's probability the part u n / (tokens of rare words) + (1 - u) / (rare words + 1), n its count; the one more
-    stands for all words never seen. The weights w1, w2, w3, by frequency bucket of the context, and u are learned with counts that leave the
-    tuning fold out, from the events of that fold; the model then uses the counts of all training documents.
+
+def fit_model(table: DataFrame) -> Interpolated:
+    """P3 = w3 ML3 + (1 - w3) P2, P2 = w2 ML2 + (1 - w2) P1, P1 = u ML1 + (1 - u) / (words + 1), all of words.
+
+    The one more word stands for all words never seen. The weights u, w2 and w3, the latter by frequency bucket of the context, are learned
+    with counts that leave the tuning fold out, from the events of that fold; the model then uses the counts of all training documents.
     """
-    v, k = vocabulary, vocabulary.classes
-    two, three = (lambda x: x[: v.bigram_cells].reshape(v.near, k)), (lambda x: x[v.bigram_cells :].reshape(FAR_CLASSES + 2, v.near, k))
-    types = max(0, v.types - len(v.counts) - (v.ends > 0))
-    rare = v.tokens - int(v.counts.sum()) - v.ends
-    level, n = v.levels.T
-    u = float(em_weight(level / max(v.rare_main, 1), np.full(len(level), 1 / (types + 1)), n, np.ones(len(level), np.int64))[1]) if rare else 0.0
-
-    def estimates(counts: np.ndarray) -> tuple[np.ndarray, ...]:
-        c2, c3 = two(counts), three(counts)
-        n1, n2, n3 = c2.sum(), c2.sum(1), c3.sum(2)
-        return c2.sum(0) / max(n1, 1), c2 / np.maximum(n2, 1)[:, None], c3 / np.maximum(n3, 1)[:, :, None], _bucket(np.array([n1])), _bucket(n2), _bucket(n3)
-
-    m1, m2, m3, b1, b2, b3 = estimates(main)
-    e1, e2, e3 = two(tune).sum(0), two(tune), three(tune)
-    w1 = em_weight(m1, np.full(k, 1 / k), e1, np.repeat(b1, k))
-    p1 = w1[b1] * m1 + (1 - w1[b1]) / k
-    x, y = np.nonzero(e2)
-    w2 = em_weight(m2[x, y], p1[y], e2[x, y], b2[x])
-    p2 = w2[b2][:, None] * m2 + (1 - w2[b2])[:, None] * p1
-    f, x, y = np.nonzero(e3)
-    w3 = em_weight(m3[f, x, y], p2[x, y], e3[f, x, y], b3[f, x])
-
-    m1, m2, m3, b1, b2, b3 = estimates(main + tune)
-    p1 = w1[b1] * m1 + (1 - w1[b1]) / k
-    p2 = w2[b2][:, None] * m2 + (1 - w2[b2])[:, None] * p1
-    p3 = (w3[b3][:, :, None] * m3 + (1 - w3[b3])[:, :, None] * p2).reshape(-1, k)
-    return Interpolated(v, p3, p3[:, 0] * u / max(rare, 1), p3[:, 0] * (1 - u) / (types + 1), (u, w1, w2, w3))
-
-
-def score_texts(docs: DataFrame, model: Interpolated, width: int) -> DataFrame:
-    """Scores every row; see lm_score. Rare tokens go, with the number of their context, to the task that has all of their word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m, v, batch_no = shared.value, shared.value.vocabulary, TaskContext.get().partitionId() << 24
-        counts = np.concatenate([[0], v.counts, [v.ends]])
-        base_of = np.log10((counts + 1) / (v.tokens + v.types + 1))
-        logs = np.log10(np.maximum(m.head, 1e-300))
-        for whole in batches:
-            for first in range(0, whole.num_rows, 60_000):
-                batch = whole.slice(first, 60_000)
-                n = batch.num_rows
-                fold = np.asarray(batch.column(2).fill_null(-1))
-                held, tokens, base, score, known = [], np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-                for a, b, h, row in token_slices(batch.column(1)):
-                    c = v.encode(h)
-                    one, two = v.contexts(c, row)
-                    context = two * v.near + one
-                    own = c > 0
-                    for out, values in ((tokens, np.ones(len(c))), (base, base_of[c] * own), (score, logs[context, c] * own), (known, own * (counts[c] > 0))):
-                        out[a:b] += np.bincount(row, values, b - a).astype(out.dtype)
-                    record = np.zeros(int((~own).sum()), _TOKEN)
-                    record["h"], record["context"], record["doc"] = h[~own], context[~own], a + row[~own]
-                    held.append(record)
-                record = np.concatenate(held) if held else np.zeros(0, _TOKEN)
-                trained = np.packbits(fold != HELD_OUT).tobytes()
-                head = np.array([batch_no, n], np.int64).tobytes()
-                ids = np.asarray(batch.column(0).fill_null(0), np.int64)
-                null_ids = np.packbits(np.asarray(batch.column(0).is_null())).tobytes()
-                summary = head + b"S" + null_ids + b"".join(x.tobytes() for x in (ids, fold.astype(np.int64), tokens, known, base, score))
-                blobs = [(batch_no % width, summary)] + [(p, head + b"T" + trained + x.tobytes()) for p, x in _split(record, _part(record["h"], width), width)]
-                yield _blobs(*zip(*blobs, strict=True))
-                batch_no += 1
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, blobs = shared.value, []
-        for batch in batches:
-            for x in batch.column(1):
-                raw = x.as_buffer().to_pybytes()
-                if raw[16:17] == b"S":
-                    yield _blobs([int(np.frombuffer(raw, np.int64, 1)[0]) % width], [raw])
-                else:
-                    blobs.append(raw)
-        if not blobs:
-            return
-        sizes, tokens, trained = [], [], []
-        for raw in blobs:
-            n = int(np.frombuffer(raw, np.int64, 2)[1])
-            t = np.frombuffer(raw, _TOKEN, offset=17 + -(-n // 8))
-            tokens.append(t)
-            trained.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 17))[t["doc"]])
-            sizes.append(len(t))
-        t, trained = np.concatenate(tokens), np.concatenate(trained)
-        order = np.argsort(t["h"], kind="stable")
-        h = t["h"][order]
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        count = np.empty(len(t), np.int64)
-        count[order] = np.repeat(np.add.reduceat(trained[order].astype(np.int64), at), np.diff(np.append(at, len(t))))
-        base = np.log10((count + 1) / (m.vocabulary.tokens + m.vocabulary.types + 1))
-        score = np.log10(np.maximum(m.a[t["context"]] * count + m.b[t["context"]], 1e-300))
-        begin = 0
-        for raw, size in zip(blobs, sizes, strict=True):
-            no, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-            part = slice(begin, begin + size)
-            doc = t["doc"][part]
-            sums = [np.bincount(doc, count[part] > 0, n).astype(np.int64), np.bincount(doc, base[part], n), np.bincount(doc, score[part], n)]
-            yield _blobs([no % width], [raw[:16] + b"T" + b"".join(x.tobytes() for x in sums)])
-            begin += size
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_: dict[int, list[np.ndarray]] = {}
-        sums: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for x in batch.column(1):
-                raw = x.as_buffer().to_pybytes()
-                no, n = (int(y) for y in np.frombuffer(raw, np.int64, 2))
-                at = 17
-                if raw[16:17] == b"S":
-                    nulls = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(bool)
-                    at += -(-n // 8)
-                    ids, fold, tokens = np.frombuffer(raw, np.int64, 3 * n, at).reshape(3, n)
-                    docs_[no] = [nulls, ids, fold, tokens]
-                    at += 24 * n
-                own = [np.frombuffer(raw, np.int64, n, at), np.frombuffer(raw, np.float64, n, at + 8 * n), np.frombuffer(raw, np.float64, n, at + 16 * n)]
-                sums[no] = [x + y for x, y in zip(sums[no], own, strict=True)] if no in sums else own
-        v = shared.value.vocabulary
-        for no, (nulls, ids, fold, tokens) in docs_.items():
-            known, base, score = sums[no]
+    totals, levels = np.zeros(5, np.int64), {}
+    for r in table.filter(F.col("kind") == _TOTALS).select("payload").toLocalIterator():
+        own, level, n = _unpack(bytes(r.payload), *("<i8",) * 3)
+        totals += own
+        for k, x in zip(level.tolist(), n.tolist(), strict=True):
+            levels[k] = levels.get(k, 0) + x
+    tokens, tune, types, ends, tune_ends = (int(x) for x in totals)
+    level, n = np.array(sorted((k, n) for k, n in levels.items() if n), np.float64).reshape(-1, 2).T
+    u = float(em_weight(level / max(tokens - tune, 1), np.full(len(level), 1 / (types + 1)), n, np.ones(len(level), np.int64))[1]) if tokens else 0.0
+
+    def model(tokens: int, *weights: np.ndarray) -> Interpolated:
+        a, b = u / max(tokens, 1), (1 - u) / (types + 1)
+        return Interpolated(Vocabulary(tokens, types, np.zeros(0, np.int64), ends), np.array([[0, a * ends + b]]), np.array([a]), np.array([b]), (u, *weights))
+
+    w2 = _learn(table, model(tokens - tune), ends - tune_ends, 2)
+    w3 = _learn(table, model(tokens - tune, w2), ends - tune_ends, 3)
+    return model(tokens, w2, w3)
+
+
+def score_texts(table: DataFrame, model: Interpolated) -> DataFrame:
+    """Scores every row; see lm_score."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = model.vocabulary
+        for _, _, _, payload in _rows(batches):
+            ids, null, fold, tokens, *counts = _unpack(payload, "<i8", "u1", *("<i8",) * 5)
+            row = np.repeat(np.arange(len(ids)), tokens)
+            first = np.concatenate([[True], row[1:] != row[:-1]])
+            contexts = [np.where(first, v.ends, np.concatenate([[0], x[:-1]])) for x in counts[:2]]
+            p = np.log10(np.maximum(model.mixed(counts, contexts), 1e-300))
+            base = np.log10((counts[0] + 1) / (v.tokens + v.types + 1))
+            known, base, p = (np.bincount(row, x, len(ids)) for x in (counts[0] > 0, base, p))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=nulls), pa.array(fold == HELD_OUT), pa.array(tokens), pa.array(known), pa.array(np.full(len(ids), v.tokens, np.int64)), pa.array(base), pa.array(score)],
+                [pa.array(ids, mask=null.astype(bool)), pa.array(fold == HELD_OUT), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), v.tokens, np.int64)), pa.array(base), pa.array(p)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    tokens = blob_shuffle(docs.select(F.col("doc_id").cast("long"), "text", "fold").mapInArrow(emit, _BLOBS), width)
-    sums = blob_shuffle(tokens.mapInArrow(rare, _BLOBS), width)
-    return sums.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return table.filter(F.col("kind") == _TEXTS).mapInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def fit_lm(docs: DataFrame) -> Interpolated:
-    """Learns the model from the training folds of ``docs`` (columns text, fold)."""
-    width = shuffle_width(docs.sparkSession)
-    vocabulary = fit_vocabulary(docs, width)
-    return fit_model(vocabulary, *count_cells(docs, vocabulary, width))
+    """Learns the model from the training folds of ``docs`` (columns doc_id, text, fold)."""
+    return fit_model(count_grams(docs, shuffle_width(docs.sparkSession)))
 
 
 def lm_score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Tokens are white-space words with A-Z lower-cased and one end; a null or empty text is the end alone. Counts are of all training
-    documents; a null doc_id counts as a training document. base_score is the add-one unigram, score the interpolated model. Repeated
-    rows count and are scored as often as they occur. An empty table gives no rows. Without training documents all words are unknown.
-    ``docs`` is read three times and has to give the same rows in the same order each time, as a scan does.
+    documents; a null doc_id counts as a training document. base_score is the add-one unigram, score the interpolated model of word
+    uni-, bi- and trigrams. Repeated rows count and are scored as often as they occur. An empty table gives no rows. Without training
+    documents all words are unknown. ``docs`` is read twice and has to give the same rows in the same order each time, as a scan does.
     """
     folded = docs.select("doc_id", "text", crc_fold("doc_id", FOLDS).cast("int").alias("fold"))
-    return score_texts(folded, fit_lm(folded), shuffle_width(docs.sparkSession))
+    table = count_grams(folded, shuffle_width(docs.sparkSession))
+    return score_texts(table, fit_model(table))

@@ -53,3 +53,31 @@ def test_probabilities_add_up(spark, sf_dir):
     seen = model.head[:, 1:].sum(1) + model.a * rare + model.b * (rare_types + 1)
     assert np.allclose(seen, 1, atol=1e-6)
     assert 0 < model.weights[0] < 1 and all((w >= 0).all() and (w < 1).all() for w in model.weights[1:])
+
+
+def test_word_ngrams(spark):
+    """Scores against word uni-, bi- and trigrams counted in plain Python; nearly all words here are rare."""
+    texts = [f"w{i % 37} x{i % 5} y{i % 41} x{(i + 1) % 5} y{i % 41} w{i % 37} z{i}" for i in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    _, w2, w3 = (weights := M.fit_lm(docs.withColumn("fold", crc_fold("doc_id", 7).cast("int"))).weights)
+    count, context = Counter(), Counter()
+    for i, text in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            t = ["<s>", "<s>", *tokens(text)]
+            for k in range(2, len(t)):
+                for n in (1, 2, 3):
+                    count[tuple(t[k - n + 1 : k + 1])] += 1
+                    context[tuple(t[k - n + 1 : k])] += 1
+    types = sum(len(g) == 1 for g in count)
+
+    def p(gram):
+        if not gram:
+            return 1 / (types + 1)
+        n = context[gram[:-1]]
+        w = weights[0] if len(gram) == 1 else (0, w2, w3)[len(gram) - 1][1 + int(np.log2(n)) if n else 0]
+        return w * count[gram] / max(n, 1) + (1 - w) * p(gram[1:])
+
+    for r in M.lm_score(docs).collect():
+        t = ["<s>", "<s>", *tokens(texts[r.doc_id])]
+        assert r.score == pytest.approx(sum(log10(p(tuple(t[k - 2 : k + 1]))) for k in range(2, len(t))), rel=1e-9)
+    assert w3[1:6].max() > 0.5
