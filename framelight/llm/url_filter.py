@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_groups, materialise
+
 #: (verdict, rule); a rule is a host and, from its first slash, a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Words that mark a host as unwanted; they label the urls that naive Bayes learns from.
 SEEDS = ("casino", "poker", "bet", "betting", "pills", "viagra", "pharma", "porn", "xxx", "sex", "adult", "cheap", "ads", "bets", "loan", "loans", "payday", "replica", "warez", "torrent", "crack", "spam", "malware", "escort", "dating", "jackpot", "slots", "free", "win", "winner", "prize")
-#: Words of the segmentation model: at most so many of the commonest words of the pages themselves.
-VOCABULARY = 30_000
 #: Features of naive Bayes: tokens fall into so many places of a fixed table.
 PLACES = 1 << 16
 SMOOTHING = 0.1
@@ -101,6 +101,10 @@ def tokens_of(host: str, path: str, segmenter: Segmenter, memo: dict[str, list[s
     return out
 
 
+def path_tokens(path: str) -> list[str]:
+    return tokens_of("", path, Segmenter({}, 0.0), {})
+
+
 def place(token: str) -> int:
     import zlib
 
@@ -126,17 +130,48 @@ class NaiveBayes:
         return self.prior + sum(self.odds[place(t)] for t in tokens)
 
 
-def fit_segmenter(pages: DataFrame, seeds: Sequence[str] = SEEDS, vocabulary: int = VOCABULARY) -> Segmenter:
-    """Word counts over all urls of all pages: names between separators. Seeds are words in any case."""
-    words = pages.select(F.explode(F.expr("regexp_extract_all(lower(coalesce(url, '')), '[a-z]+', 0)")).alias("word")).filter(F.length("word").between(2, LONGEST_WORD))
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    html = pages.select(F.explode(F.expr("regexp_extract_all(lower(coalesce(html, '')), '[a-z]+', 0)")).alias("word")).filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n")) if "html" in pages.columns else None
-    source = html if html is not None else counted
-    top = {r["word"]: r["n"] for r in source.orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
-    total = sum(top.values())
-    for s in seeds:
-        top[s] = max(top.get(s, 0), total // 2000 + 1)
-    return Segmenter.fit(top, sum(top.values()))
+def count_words(pages: DataFrame) -> DataFrame:
+    """word, n: counts of all words of all urls and html of all pages, names between separators; the table stays distributed."""
+    texts = [F.expr(f"regexp_extract_all(lower(coalesce({c}, '')), '[a-z]+', 0)") for c in ("url", "html") if c in pages.columns]
+    words = pages.select(F.explode(F.concat(*texts)).alias("word")).filter(F.length("word").between(2, LONGEST_WORD))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def host_tokens(pages: DataFrame, hosts: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
+    """host, size, named, bad for every row of ``hosts`` (host, size): the host's tokens, and whether a seed word is among them.
+
+    The substrings of the hosts are looked up by a join in the counts of all words, so each host is split by the whole table. Seeds are
+    words in any case.
+    """
+    counted = materialise(count_words(pages))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least, own = total // 2000 + 1, {r["word"]: r["n"] for r in counted.filter(F.col("word").isin(list(seeds))).collect()}
+    seeded = {s: max(own.get(s, 0), least) for s in seeds}
+    total += sum(n - own.get(s, 0) for s, n in seeded.items())
+    segmenter = Segmenter.fit(seeded, total)
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host in batch.column(0).to_pylist():
+                found = {x[i:j] for x in re.findall("[a-z]+", host) for i in range(len(x)) for j in range(i + 2, min(len(x), i + LONGEST_WORD) + 1)}
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(found)), pa.array(sorted(found))], names=["host", "word"])
+
+    def split(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, words in columns:
+            out = []
+            for host, known in zip(names.to_pylist(), words.to_pylist(), strict=True):
+                cost = {w["word"]: -math.log(w["n"] / total) for w in known or ()}
+                tokens = tokens_of(host, "", Segmenter(cost | segmenter.cost, segmenter.unknown), {})
+                out.append({"named": tokens, "bad": any(t[2:] in segmenter.cost for t in tokens)})
+            yield pa.array(out, pa.struct([("named", pa.list_(pa.string())), ("bad", pa.bool_())]))
+
+    pairs = hosts.select("host").mapInArrow(substrings, "host string, word string")
+    known = materialise(pairs.groupBy("word").agg(F.count("*").alias("size")).join(counted, "word"))
+    pairs = materialise(join_groups(pairs, known, ["word"], "size").select("host", "word", "n"))
+    found = pairs.groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    udf = F.arrow_udf(split, "struct<named:array<string>,bad:boolean>")
+    return hosts.join(found, "host", "left").withColumn("j", udf("host", "words")).select("host", "size", "j.named", "j.bad")
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS) -> DataFrame:
@@ -149,41 +184,40 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds
     """
     spark = pages.sparkSession
     host, path = split_url()
-    segmenter = spark.sparkContext.broadcast(fit_segmenter(pages, seeds))
-    named = spark.sparkContext.broadcast((Rules(rules), frozenset(seeds)))
+    named = spark.sparkContext.broadcast(Rules(rules))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    urls = materialise(split.groupBy("host", "path").agg(F.count("*").alias("n")))
+    hosts = materialise(host_tokens(pages, urls.groupBy("host").agg(F.count("*").alias("size")), seeds))
+    urls = materialise(join_groups(urls, hosts, ["host"], "size").select("host", "path", "n", "named", "bad"))
     totals = "kind int, place int, n bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
-        counts, urls = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
+        counts, seen = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for h, p, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = tokens_of(h, p, segmenter.value, memo)
-                bad = int(any(t[:2] == "h:" and t[2:] in named.value[1] for t in tokens))
-                urls[bad] += n
-                for t in tokens:
-                    counts[bad, place(t)] += n
+            for p, n, names, bad in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                seen[int(bad)] += n
+                for t in names + path_tokens(p):
+                    counts[int(bad), place(t)] += n
         kind, at = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([kind, [0, 1]]), pa.int32()), pa.array(np.concatenate([at, [-1, -1]]), pa.int32()), pa.array(np.concatenate([counts[kind, at], urls]))], names=["kind", "place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([kind, [0, 1]]), pa.int32()), pa.array(np.concatenate([at, [-1, -1]]), pa.int32()), pa.array(np.concatenate([counts[kind, at], seen]))], names=["kind", "place", "n"])
 
-    counted = split.groupBy("host", "path").agg(F.count("*").alias("n")).mapInArrow(count, totals).groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
-    counts, urls = np.zeros((2, PLACES)), np.zeros(2)
+    counted = urls.mapInArrow(count, totals).groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
+    counts, seen = np.zeros((2, PLACES)), np.zeros(2)
     kind, at, n = (np.asarray(counted.column(c)) for c in ("kind", "place", "n"))
     counts[kind[at >= 0], at[at >= 0]] = n[at >= 0]
-    urls[kind[at < 0]] = n[at < 0]
-    bayes = spark.sparkContext.broadcast(NaiveBayes.fit(counts, urls))
+    seen[kind[at < 0]] = n[at < 0]
+    bayes = spark.sparkContext.broadcast(NaiveBayes.fit(counts, seen))
 
-    def judge(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        memo: dict[str, list[str]] = {}
-        for hosts, paths in columns:
+    def judge(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for hosts, paths, names in columns:
             out = []
-            for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
-                rule, verdict = named.value[0].judge(h, p)
-                odds = bayes.value.block_odds(tokens_of(h, p, segmenter.value, memo))
+            for h, p, words in zip(hosts.to_pylist(), paths.to_pylist(), names.to_pylist(), strict=True):
+                rule, verdict = named.value.judge(h, p)
+                odds = bayes.value.block_odds(words + path_tokens(p))
                 out.append((rule, verdict or ("block" if odds > 0 else "allow"), 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))))
             rule, verdict, score = zip(*out, strict=True) if out else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["rule", "verdict", "block_score"])
 
     udf = F.arrow_udf(judge, "struct<rule:string,verdict:string,block_score:double>")
-    return split.withColumn("j", udf("host", "path")).select("page_id", "host", "path", "j.rule", "j.verdict", "j.block_score")
+    judged = materialise(urls.withColumn("j", udf("host", "path", "named")).select("host", "path", "n", "j"))
+    return join_groups(split, judged, ["host", "path"], "n").select("page_id", "host", "path", "j.rule", "j.verdict", "j.block_score")

@@ -207,6 +207,17 @@ def test_language_odd_inputs(spark):
     assert L.language_id(nothing).first().lang_pred == "und"
 
 
+def test_host_words_of_all_pages(spark):
+    """A word behind 30,000 commoner ones, and one of the urls alone, still split hosts."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    common = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:30_500]
+    html = " ".join([*common, *common, "violet", "harbour"])
+    pages = spark.createDataFrame([(1, "http://x.net/", html), (2, "http://y.net/", ""), (3, "http://x.net/lantern", None)], "page_id bigint, url string, html string")
+    hosts = spark.createDataFrame([("violetharbour.net", 1), ("lanternharbour.net", 1), ("", 1)], "host string, size bigint")
+    got = {r.host: r.named for r in U.host_tokens(pages, hosts).collect()}
+    assert got == {"violetharbour.net": ["h:violet", "h:harbour", "h:net"], "lanternharbour.net": ["h:lantern", "h:harbour", "h:net"], "": []}
+
+
 def test_url_filter(spark, sf_dir):
     urls = [None, "", "no scheme", "https://A.Example.ORG/es/1?x", "http://example.org/en/15", "http://x.org", "http://x.org/", "ftp://a.com/fr/z#f", "http://b.COM/de/", "http://cheap-pills.example.net/en/1", "http://theren.example.net/en/2", "://h/p", "http://h?q/://z", "http://org/x", "http://notorg/x"]
     pages = spark.createDataFrame([(i, u, "the ren cheap casino words the ren") for i, u in enumerate([*urls, *(["http://cheappills.example.net/en/1", "http://theren.example.net/en/2"] * 20)])], "page_id bigint, url string, html string")
