@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,6 @@ from .common import join_groups, materialise
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Words that mark a host as unwanted; they label the urls that naive Bayes learns from.
 SEEDS = ("casino", "poker", "bet", "betting", "pills", "viagra", "pharma", "porn", "xxx", "sex", "adult", "cheap", "ads", "bets", "loan", "loans", "payday", "replica", "warez", "torrent", "crack", "spam", "malware", "escort", "dating", "jackpot", "slots", "free", "win", "winner", "prize")
-#: Features of naive Bayes: tokens fall into so many places of a fixed table.
-PLACES = 1 << 16
 SMOOTHING = 0.1
 LONGEST_WORD = 20
 _PIECE = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
@@ -105,29 +103,13 @@ def path_tokens(path: str) -> list[str]:
     return tokens_of("", path, Segmenter({}, 0.0), {})
 
 
-def place(token: str) -> int:
-    import zlib
+def log_odds(tokens: DataFrame, totals: tuple[int, int], types: int) -> DataFrame:
+    """token, size, odds for every row of ``tokens`` (token, size, allow, block): log-odds of naive Bayes for block against allow.
 
-    return zlib.crc32(token.encode()) & (PLACES - 1)
-
-
-@dataclass
-class NaiveBayes:
-    """log-odds of each place of the token table and of the prior, for block against allow."""
-
-    prior: float
-    odds: np.ndarray
-
-    @classmethod
-    def fit(cls, counts: np.ndarray, urls: np.ndarray) -> NaiveBayes:
-        """counts: 2 x PLACES, urls: 2; allow first. SMOOTHING is added to the count of every token seen; others tell nothing."""
-        seen = counts.sum(0) > 0
-        p = (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * max(1, int(seen.sum())))
-        p[:, ~seen] = 1
-        return cls(float(np.log((urls[1] + 1) / (urls[0] + 1))), np.log(p[1] / p[0]))
-
-    def block_odds(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds[place(t)] for t in tokens)
+    totals: tokens of allow and of block. SMOOTHING is added to the count of each of the ``types`` tokens.
+    """
+    allow, block = ((F.col(c) + SMOOTHING) / (n + SMOOTHING * types) for c, n in zip(("allow", "block"), totals, strict=True))
+    return tokens.select("token", "size", F.log(block / allow).alias("odds"))
 
 
 def count_words(pages: DataFrame) -> DataFrame:
@@ -180,7 +162,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds
     A rule's verdict stands; other urls are judged by naive Bayes over the words of the segmented host and of the path, learned from all
     pages: urls whose host has a seed word are examples of block, all others of allow. A null url, or one without ://, has an empty host
     and path, fits no rule and is judged by the prior. Repeated rows are judged alike; an empty table gives no rows.
-    The token table has a fixed size, so what reaches the driver doesn't grow with the pages.
+    Tokens are counted as they are, in a distributed table; only the totals reach the driver.
     """
     spark = pages.sparkSession
     host, path = split_url()
@@ -188,36 +170,34 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     urls = materialise(split.groupBy("host", "path").agg(F.count("*").alias("n")))
     hosts = materialise(host_tokens(pages, urls.groupBy("host").agg(F.count("*").alias("size")), seeds))
-    urls = materialise(join_groups(urls, hosts, ["host"], "size").select("host", "path", "n", "named", "bad"))
-    totals = "kind int, place int, n bigint"
+    urls = materialise(join_groups(urls, hosts, ["host"], "size").select("host", "path", "n", "named", "bad").withColumn("url", F.monotonically_increasing_id()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, n, names, bad in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                seen[int(bad)] += n
-                for t in names + path_tokens(p):
-                    counts[int(bad), place(t)] += n
-        kind, at = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([kind, [0, 1]]), pa.int32()), pa.array(np.concatenate([at, [-1, -1]]), pa.int32()), pa.array(np.concatenate([counts[kind, at], seen]))], names=["kind", "place", "n"])
-
-    counted = urls.mapInArrow(count, totals).groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
-    counts, seen = np.zeros((2, PLACES)), np.zeros(2)
-    kind, at, n = (np.asarray(counted.column(c)) for c in ("kind", "place", "n"))
-    counts[kind[at >= 0], at[at >= 0]] = n[at >= 0]
-    seen[kind[at < 0]] = n[at < 0]
-    bayes = spark.sparkContext.broadcast(NaiveBayes.fit(counts, seen))
+            for url, p, names, n, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if found := Counter(names + path_tokens(p)):
+                    times = [n * k for k in found.values()]
+                    none = [0] * len(found)
+                    columns = [pa.array([url] * len(found)), pa.array(list(found)), pa.array(list(found.values())), pa.array(none if bad else times), pa.array(times if bad else none)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["url", "token", "times", "allow", "block"])
+
+    words = materialise(urls.select("url", "path", "named", "n", "bad").mapInArrow(words_of, "url bigint, token string, times bigint, allow bigint, block bigint"))
+    counted = materialise(words.groupBy("token").agg(F.count("*").alias("size"), F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+    allow, block, types = counted.agg(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0)), F.count("*")).first()
+    odds = join_groups(words.select("url", "token", "times"), materialise(log_odds(counted, (allow, block), max(types, 1))), ["token"], "size").groupBy("url").agg(F.sum(F.col("times") * F.col("odds")).alias("odds"))
+    seen = urls.agg(F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0))).first()
+    prior = math.log((seen[1] + 1) / (seen[0] + 1))
 
     def judge(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for hosts, paths, names in columns:
+        for hosts, paths, sums in columns:
             out = []
-            for h, p, words in zip(hosts.to_pylist(), paths.to_pylist(), names.to_pylist(), strict=True):
+            for h, p, odds in zip(hosts.to_pylist(), paths.to_pylist(), sums.to_pylist(), strict=True):
                 rule, verdict = named.value.judge(h, p)
-                odds = bayes.value.block_odds(words + path_tokens(p))
+                odds = prior + (odds or 0.0)
                 out.append((rule, verdict or ("block" if odds > 0 else "allow"), 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))))
             rule, verdict, score = zip(*out, strict=True) if out else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["rule", "verdict", "block_score"])
 
     udf = F.arrow_udf(judge, "struct<rule:string,verdict:string,block_score:double>")
-    judged = materialise(urls.withColumn("j", udf("host", "path", "named")).select("host", "path", "n", "j"))
+    judged = materialise(urls.join(odds, "url", "left").withColumn("j", udf("host", "path", "odds")).select("host", "path", "n", "j"))
     return join_groups(split, judged, ["host", "path"], "n").select("page_id", "host", "path", "j.rule", "j.verdict", "j.block_score")

@@ -1,8 +1,10 @@
 """Operators that look at one document at a time, against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -218,6 +220,24 @@ def test_host_words_of_all_pages(spark):
     assert got == {"violetharbour.net": ["h:violet", "h:harbour", "h:net"], "lanternharbour.net": ["h:lantern", "h:harbour", "h:net"], "": []}
 
 
+def test_colliding_path_words(spark):
+    """Scores against naive Bayes over the tokens themselves, with path words that share their crc32 modulo 65,536."""
+    places, pair = {}, None
+    for i in range(5000):
+        word = "".join(chr(97 + b % 26) for b in hashlib.sha256(str(i).encode()).digest()[:9])
+        if pair := (w, word) if (w := places.setdefault(zlib.crc32(f"p:{word}".encode()) & 65535, word)) != word else None:
+            break
+    urls = [f"http://casino.net/{pair[0]}"] * 3 + [f"http://garden.net/{pair[1]}"] * 4 + [f"http://meadow.net/{pair[1]}/{pair[1]}", None]
+    pages = spark.createDataFrame([(i, u, "casino garden meadow net") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    tokens = [["h:" + h, "h:net", *["p:" + w for w in p]] for h, p in [("casino", pair[:1])] * 3 + [("garden", pair[1:])] * 4 + [("meadow", pair[1:] * 2)]] + [[]]
+    counts = [Counter(t for i, x in enumerate(tokens) for t in x if (i < 3) == bad) for bad in (False, True)]
+    types = len(counts[0] | counts[1])
+    p = [lambda t, c=c: (c[t] + U.SMOOTHING) / (sum(c.values()) + U.SMOOTHING * types) for c in counts]
+    got = {r.page_id: r.block_score for r in U.url_filter(pages, rules=()).collect()}
+    for i, x in enumerate(tokens):
+        assert got[i] == pytest.approx(1 / (1 + (7 / 4) * math.prod(p[0](t) / p[1](t) for t in x)), rel=1e-9)
+
+
 def test_url_filter(spark, sf_dir):
     urls = [None, "", "no scheme", "https://A.Example.ORG/es/1?x", "http://example.org/en/15", "http://x.org", "http://x.org/", "ftp://a.com/fr/z#f", "http://b.COM/de/", "http://cheap-pills.example.net/en/1", "http://theren.example.net/en/2", "://h/p", "http://h?q/://z", "http://org/x", "http://notorg/x"]
     pages = spark.createDataFrame([(i, u, "the ren cheap casino words the ren") for i, u in enumerate([*urls, *(["http://cheappills.example.net/en/1", "http://theren.example.net/en/2"] * 20)])], "page_id bigint, url string, html string")
