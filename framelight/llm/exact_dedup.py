@@ -1,4 +1,4 @@
-"""Exact dedup by a tree-merge of sorted digest runs."""
+"""Exact dedup by digests, grouped in nested rounds."""
 
 from __future__ import annotations
 
@@ -23,13 +23,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def merge_runs(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """Merges every partition's run of digests in binomial rounds.
+    """Groups the digests of every partition in nested rounds, in place of a merge of sorted runs.
 
-    Workers are numbered in base ``fan_in``. In round r the workers that differ in digit r only exchange parts of
-    their runs: a digest goes to the worker whose digit r is the digest's own. Each round sorts and merges up to
-    ``fan_in`` runs and keeps, of equal digests with equal length and check hash, the longest original text with
-    the smallest identifier, and the number of rows. After the last round the worker depends on the digest alone,
-    so each digest is in one run, and no run holds more than its share of the digests.
+    Partitions are numbered in base ``fan_in``; round r sets digit r of a row's number to the digest's own and groups by number and digest.
+    Each round keeps, of equal digests with equal length and check hash, the longest original text with the smallest identifier, and the
+    number of rows. After the last round the number depends on the digest alone, so each digest is one row. Rows are dealt by the hash of
+    number and digest, not exchanged among the partitions that differ in one digit.
     """
     spark = runs.sparkSession
     rounds, width = 1, fan_in
