@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelight.llm.common import read_table, work_path
+from framelight.llm.common import materialise, read_table, work_path
 from framelight.llm.decontaminate import mark_contamination
 from framelight.llm.exact_dedup import exact_dedup
 from framelight.llm.ngram_jaccard import ngram_jaccard
@@ -23,16 +23,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, "__score").filter(F.col("__score") >= THRESHOLD).select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row's own, __key, in the order of doc_id; null doc_ids come last."""
+    in_order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return materialise(in_order.withColumn("__key", F.monotonically_increasing_id()))
+
+
+def by_key(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose key is a doc_id of ``kept``, without the key."""
+    return rows.join(kept.select(F.col("doc_id").alias("__key")), "__key", "left_semi").drop("__key")
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the one that exact_dedup keeps. Rows that repeat a doc_id with its text are one document."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Keeps of equal texts the one row that exact_dedup keeps, also where doc_ids are null or repeated."""
+    rows = keyed(docs)
+    return by_key(rows, exact_dedup(rows.select(F.col("__key").alias("doc_id"), "text")).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every group of documents linked by word shingles (five words, similarity 0.8) the one with the smallest doc_id."""
-    kept = ngram_jaccard(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Keeps of every group of rows linked by word shingles (five words, similarity 0.8) the one with the smallest doc_id; null comes last."""
+    rows = keyed(docs)
+    return by_key(rows, ngram_jaccard(rows.select(F.col("__key").alias("doc_id"), "text")).filter("doc_id = component_id"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

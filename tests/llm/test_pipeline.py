@@ -53,3 +53,13 @@ def test_run_and_empty(spark, sf_dir):
         assert odd.columns == ["doc_id", "text", "lang"]
         odd = spark.createDataFrame(odd.collect(), odd.schema)
     assert 3 in {r.doc_id for r in odd.collect()}
+
+
+def test_null_and_repeated_ids(spark, sf_dir):
+    long = [f"w{i}" for i in range(80)]
+    rows = [(None, "a b"), (None, "a b"), (None, "c d"), (5, "x y"), (5, "x y"), (None, " ".join(long)), (None, " ".join([*long[:-1], "z"])), (7, " ".join(["y", *long[1:]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    exact = P.exact_duplicates(spark, docs, sf_dir)
+    assert sorted(exact.collect(), key=str) == sorted(spark.createDataFrame([*rows[1:4], *rows[5:]], docs.schema).collect(), key=str)
+    near = P.near_duplicates(spark, exact, sf_dir).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in near))) == sorted(map(str, [*rows[1:4], rows[7]]))
