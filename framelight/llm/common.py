@@ -175,12 +175,60 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes is connected to by edges a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest node, other node) that connect what the edges a-b connect; fewer than there are nodes."""
+    if not len(a):
+        return a, b
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low = names[min_labels(len(names), at[: len(a)], at[len(a) :])]
+    return low[low != names], names[low != names]
+
+
+#: Edges that one task may join to components: 16 MB of packed pairs.
+TASK_EDGES = 1_000_000
+
+
+def components_in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, component) of at most TASK_EDGES edges, which travel as packed forests."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))]) for batch in batches if batch.num_rows]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.stack(forest(*np.concatenate(pairs, 1))).tobytes()], pa.binary())], names=["part", "payload"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for batch in batches for x in batch.column(1)]
+        if pairs:
+            a, b = forest(*np.concatenate(pairs, 1))
+            roots = np.unique(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([b, roots])), pa.array(np.concatenate([a, roots]))], names=["node", "component"])
+
+    return blob_shuffle(edges.select("a", "b").mapInArrow(pack, "part int, payload binary"), 1).mapInArrow(merge, "node bigint, component bigint")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge (a, b) is connected to.
 
     Alternating large and small stars: every round links each node's larger, then its smaller neighbours to its smallest one. The number
     of edges never grows, the number of rounds is logarithmic, and each step is written to the shared work folder. The centre of a large
-    component is a key with a large share of the edges: such keys are joined by broadcast (``join_groups``).
+    component is a key with a large share of the edges: such keys are joined by broadcast (``join_groups``). As soon as no more than TASK_EDGES
+    edges are left, one task joins them.
     """
 
     def stars(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +241,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     seen = state(edges)
-    while seen[0]:
+    while seen[0] > TASK_EDGES:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = stars(both)[0].filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b")
         down, low = stars(materialise(large.distinct()).select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -201,6 +249,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = materialise(small.filter("a < b").distinct())
         now = state(edges)
         if now == seen:
-            break
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         seen = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return materialise(components_in_one_task(edges))

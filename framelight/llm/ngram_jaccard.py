@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, blob_shuffle, byte_words, connected_components, join_groups, materialise, mix, prefix_hash, shuffle_width, sorted_runs, span_hash, text_slices
+from .common import LOWER, NOT_SPACE, blob_shuffle, byte_words, connected_components, forest, join_groups, materialise, mix, prefix_hash, shuffle_width, sorted_runs, span_hash, text_slices
 
 SHINGLE, PERCENT = 5, 80
-#: Documents of a block; a group with more of them is opened in pairs of blocks.
-BLOCK = 512
-#: Documents of a row of the token-group matrix.
-ROW_DOCS = 16
-COLUMNS = 4096
+#: Documents of a group, a row of the token-group matrix.
+GROUP = 16
+#: Queries that one opening of a group compares.
+QUERIES = 512
+#: Sets of one slice of input that may go to a signature's owner; a slice has at most about SLICE signatures.
+HOT, SLICE = 64, 2_000_000
+#: Bytes of signatures that one task gathers, about.
+PART_BYTES = 32 << 20
 U64 = np.uint64
 
 
@@ -54,20 +57,25 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, list[np.nd
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and two hashes of the whole set."""
+    """doc_id, t (a hash of the text) and n_shingles, two hashes and the least shingle of the whole set."""
 
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            n, h1, h2 = (np.zeros(len(column), t) for t in (np.int64, U64, U64))
+            n, h1, h2, lead = (np.zeros(len(column), t) for t in (np.int64, U64, U64, U64))
             for a, sets in shingle_sets(column, words):
                 for i, s in enumerate(sets, a):
-                    n[i] = len(s)
-                    with np.errstate(over="ignore"):
-                        h1[i], h2[i] = mix(s).sum(dtype=U64), mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)
-            yield pa.StructArray.from_arrays([pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["n", "h1", "h2"])
+                    if len(s):
+                        n[i], lead[i] = len(s), s[0]
+                        h1[i], h2[i] = set_hash(s), mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)
+            yield pa.StructArray.from_arrays([pa.array(n), *(pa.array(x.view(np.int64)) for x in (h1, h2, lead))], names=["n", "h1", "h2", "lead"])
 
-    udf = F.arrow_udf(of, "struct<n:bigint,h1:bigint,h2:bigint>")
-    return docs.select("doc_id", udf("text").alias("s")).select("doc_id", F.col("s.n").alias("n_shingles"), "s.h1", "s.h2")
+    udf = F.arrow_udf(of, "struct<n:bigint,h1:bigint,h2:bigint,lead:bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), udf("text").alias("s")).select("doc_id", "t", F.col("s.n").alias("n_shingles"), "s.h1", "s.h2", "s.lead")
+
+
+def set_hash(s: np.ndarray) -> np.uint64:
+    """The first hash of a set of shingles."""
+    return mix(s).sum(dtype=U64)
 
 
 @lru_cache(maxsize=8)
@@ -83,13 +91,14 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return low, (low[1:] - 1) * (100 - percent) // percent
 
 
-def signatures(s: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Hashes of parts of a set such that any two linked, different sets share one.
+def signatures(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(class, need, hashes of parts of the set): two linked, different sets share, of one class, as many as the less demanding of them needs.
 
-    The hash space is cut into d + 1 + e parts for a class in which linked sets differ in at most d shingles; then at least 1 + e parts are
-    equal. Parts with fewer shingles than L are left out, with L as large as it may be while no more than e parts have fewer: of 1 + e
-    equal parts one is always left in, in both sets. So passages that documents share do not bring them together: a whole part must
-    be equal. A set is cut for its own class and, as the larger of two, for the class below.
+    Where linked sets differ in at most d shingles, the hash space is cut into d + 1 + extra parts, of which 1 + extra are then equal. Parts with
+    fewer shingles than L are left out, with L as large as it may be while no more than half of the extra parts have fewer; empty parts are
+    left out if there are no more than extra. Equal parts have equal loads, so of two sets' equal parts only those are left out that the one with
+    the larger L leaves out: need = 1 + extra - parts left out. Passages that documents share do not make their parts equal: a whole part
+    must be. A set is cut for its own class and, as the larger of two, for the class below.
     """
     bounds, differ = size_classes(percent)
     own = int(np.searchsorted(bounds, len(s), side="right")) - 1
@@ -98,218 +107,249 @@ def signatures(s: np.ndarray, percent: int) -> list[np.ndarray]:
         if k < 0 or differ[k] == 0:
             continue
         d = int(differ[k])
-        extra = -(-(d + 1) * 3 // 20)
+        extra = max(2, -(-(d + 1) * 3 // 10))
         parts = d + 1 + extra
         part = ((s >> U64(32)) * U64(parts)) >> U64(32)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         load = np.diff(np.append(at, len(s)))
         fewer = np.concatenate([[0], np.cumsum(np.bincount(load, minlength=8))])  # fewer[L]: present parts with load < L
         fewer = fewer + (parts - len(at)) * (np.arange(len(fewer)) > 0)
-        least = int(np.flatnonzero(fewer <= extra).max())
+        least = int(np.flatnonzero(fewer <= extra // 2).max()) or int(fewer[1] <= extra)
         with np.errstate(over="ignore"):
             total = np.add.reduceat(mix(s), at)
             keep = load >= least
-            sig = total[keep] + part[at][keep] * U64(0x9E3779B97F4A7C15) + U64(k) * U64(0xC2B2AE3D27D4EB4F) + load[keep].astype(U64)
-            out.append(mix(sig))
+            sig = mix(total[keep] + part[at][keep] * U64(0x9E3779B97F4A7C15) + U64(k) * U64(0xC2B2AE3D27D4EB4F) + load[keep].astype(U64))
             if least == 0:  # empty parts count too
                 empty = np.setdiff1d(np.arange(parts, dtype=U64), part[at])
-                out.append(mix(empty * U64(0x9E3779B97F4A7C15) + U64(k) * U64(0xC2B2AE3D27D4EB4F)))
+                sig = np.concatenate([sig, mix(empty * U64(0x9E3779B97F4A7C15) + U64(k) * U64(0xC2B2AE3D27D4EB4F))])
+        out.append((k, 1 + extra - int(fewer[least]), sig))
     return out
 
 
-def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes is connected to by edges a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (smallest node, other node) that connect what the edges a-b connect; fewer than there are nodes."""
-    if not len(a):
-        return a, b
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    low = names[min_labels(len(names), at[: len(a)], at[len(a) :])]
-    return low[low != names], names[low != names]
-
-
-def candidate_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of documents that are connected by shared signatures; all others have no link to a different set.
-
-    A task links the documents of each of its signatures to the smallest and keeps a forest; the forests of all tasks are merged by document,
-    so that an edge found by many tasks is passed on once. Signatures travel whole: their number grows with the input, and so would, with its
-    square, the number of documents that shortened ones chain together by chance.
+def shared_signatures(docs: DataFrame, words: int, percent: int, width: int) -> DataFrame:
+    """(sig, h1, k, need): the signatures, of class k, that at least two different sets have, each with the sets (h1) that have it.
+
+    Signatures travel as packed arrays to the task that owns their hash range; a set that a slice of the input holds several times is sent
+    once. Of a signature with over HOT sets in one slice only two sets go to its owner, as a sign that it is shared; the others are known to
+    be shared and are dealt to all tasks by their sets, so no owner gets all sets of a frequent signature.
     """
-    width = shuffle_width(docs.sparkSession)
+
+    def send(known: list[np.ndarray], owner: list[np.ndarray], table: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        sig, who, names = np.concatenate(known), np.concatenate(owner), np.array(table, np.int64)
+        order = np.argsort(sig, kind="stable")
+        sig, who = sig[order], who[order]
+        new = np.concatenate([[True], sig[1:] != sig[:-1]])
+        at = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        bypass = (np.diff(np.append(at, len(sig)))[group] > HOT) & (np.arange(len(sig)) - at[group] >= 2)
+        to = ((sig >> U64(32)) * U64(width)) >> U64(32)
+        to = np.where(bypass, names[who, 0].view(U64) % U64(width), to).astype(np.int64) * 2 + bypass
+        order = np.argsort(to, kind="stable")
+        sig, who, cuts = sig[order], who[order], np.searchsorted(to[order], np.arange(2 * width + 1))
+        parts, blobs = [], []
+        for p in np.flatnonzero(np.diff(cuts)):
+            there, local = np.unique(who[cuts[p] : cuts[p + 1]], return_inverse=True)
+            parts.append(p // 2)
+            blobs.append(np.array([p % 2, len(there)], np.int64).tobytes() + names[there].tobytes() + sig[cuts[p] : cuts[p + 1]].tobytes() + local.astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "payload"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, owner, table, seen, held = [], [], [], set(), 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 60_000):
-                part = batch.slice(first, 60_000)
-                sigs, owner = [], []
-                for a, sets in shingle_sets(part.column(1), words):
-                    for i, s in enumerate(sets, a):
-                        for x in signatures(s, percent) if len(s) else ():
-                            sigs.append(x)
-                            owner.append(np.full(len(x), i, np.uint16))
-                if not sigs:
-                    continue
-                sig, who = np.concatenate(sigs), np.concatenate(owner)
-                to = ((sig >> U64(32)) % U64(width)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                sig, who, cuts = sig[order], who[order], np.searchsorted(to[order], np.arange(width + 1))
-                ids = np.asarray(part.column(0).fill_null(0), np.int64)
-                parts, blobs = [], []
-                for p in range(width):
-                    lo, hi = cuts[p], cuts[p + 1]
-                    if hi > lo:
-                        there, local = np.unique(who[lo:hi], return_inverse=True)
-                        parts.append(p)
-                        blobs.append(np.int64(len(there)).tobytes() + ids[there].tobytes() + local.astype("<u2").tobytes() + sig[lo:hi].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "payload"])
+            for _, sets in shingle_sets(batch.column(0), words):
+                for s in sets:
+                    h = int(set_hash(s).view(np.int64)) if len(s) else 0
+                    if not len(s) or h in seen:
+                        continue
+                    seen.add(h)
+                    for k, need, x in signatures(s, percent):
+                        known.append(x)
+                        owner.append(np.full(len(x), len(table), np.uint16))
+                        table.append((h, k, need))
+                        held += len(x)
+                    if held > SLICE or len(table) > 65_000:
+                        yield from send(known, owner, table)
+                        known, owner, table, seen, held = [], [], [], set(), 0
+        if held:
+            yield from send(known, owner, table)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, docs_ = [], []
+        def rows(sig: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(name[:, 0]), *(pa.array(name[:, c].astype(np.int32)) for c in (1, 2))], names=["sig", "h1", "k", "need"])
+
+        sigs, whose, names, base = [], [], [], 0
         for batch in batches:
             for x in batch.column(1):
                 raw = x.as_buffer()
-                n = int(np.frombuffer(raw, np.int64, 1)[0])
-                m = (raw.size - 8 - 8 * n) // 10
-                docs_.append(np.frombuffer(raw, np.int64, n, 8)[np.frombuffer(raw, "<u2", m, 8 + 8 * n)])
-                sigs.append(np.frombuffer(raw, "<u8", m, 8 + 8 * n + 2 * m))
+                kind, n = np.frombuffer(raw, np.int64, 2)
+                m = (raw.size - 16 - 24 * n) // 10
+                name = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(n, 3)
+                sig, who = np.frombuffer(raw, U64, m, 16 + 24 * n), np.frombuffer(raw, "<u2", m, 16 + 24 * n + 8 * m)
+                if kind:
+                    yield rows(sig, name[who])
+                    continue
+                sigs.append(sig)
+                whose.append(who.astype(np.int32) + np.int32(base))
+                names.append(name)
+                base += int(n)
         if not sigs:
             return
-        sig, doc = np.concatenate(sigs), np.concatenate(docs_)
-        del sigs, docs_
+        sig, who, name = np.concatenate(sigs), np.concatenate(whose), np.concatenate(names)
+        del sigs, whose, names
         order = np.argsort(sig, kind="stable")
-        sig, doc = sig[order], doc[order]
-        new = np.concatenate([[True], sig[1:] != sig[:-1]])
-        low = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-        a, b = forest(low[doc != low], doc[doc != low])
-        to = (mix(b.view(U64)) % U64(width)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        a, b, cuts = a[order], b[order], np.searchsorted(to[order], np.arange(width + 1))
-        parts = np.flatnonzero(np.diff(cuts))
-        if len(parts):
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.stack([a[cuts[p] : cuts[p + 1]], b[cuts[p] : cuts[p + 1]]]).tobytes() for p in parts], pa.binary())], names=["part", "payload"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for batch in batches for x in batch.column(1)]
-        if pairs:
-            a, b = forest(*np.concatenate(pairs, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    blobs = docs.select("doc_id", "text").mapInArrow(emit, "part int, payload binary")
-    forests = blob_shuffle(blobs, width).mapInArrow(gather, "part int, payload binary")
-    return connected_components(blob_shuffle(forests, width).mapInArrow(merge, "a bigint, b bigint"))
+        sig, who = sig[order], who[order]
+        same = sig[1:] == sig[:-1]
+        some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        sig, who = sig[some], who[some]
+        order = np.lexsort((name[who, 0], sig))
+        sig, who = sig[order], who[order]
+        once = np.ones(len(sig), bool)
+        once[1:] = (sig[1:] != sig[:-1]) | (name[who[1:], 0] != name[who[:-1], 0])
+        sig, who = sig[once], who[once]
+        same = sig[1:] == sig[:-1]
+        some = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(sig) else once[:0]
+        if some.any():
+            yield rows(sig[some], name[who[some]])
+
+    blobs = docs.select("text").mapInArrow(emit, "part int, payload binary")
+    return blob_shuffle(blobs, width).mapInArrow(gather, "sig bigint, h1 bigint, k int, need int")
+
+
+def open_group(members: list[np.ndarray], sets: list[np.ndarray], own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) of all links between queries' sets and the members of one group.
+
+    The group's row of the token matrix is the union of its members' shingles. A query's overlap with the union bounds that with every
+    member; only if the bound allows a link are the members' own rows looked at. own: the place of a query that is itself a member,
+    which is compared with the members after it only; -1 for others.
+    """
+    size = np.array([len(s) for s in members], np.int64)
+    union, place = np.unique(np.concatenate(members), return_inverse=True)
+    table = np.zeros((len(members), len(union)), bool)
+    table[np.repeat(np.arange(len(members)), size), place] = True
+    left, right = [], []
+    for q, s in enumerate(sets):
+        at = np.searchsorted(union, s)
+        at[at == len(union)] = 0
+        at = at[union[at] == s]
+        if len(at) * 100 < percent * len(s):
+            continue
+        both = np.count_nonzero(table[:, at], axis=1)
+        y = np.flatnonzero((100 * both >= percent * (len(s) + size - both)) & (np.arange(len(members)) > own[q]))
+        left.append(np.full(len(y), q))
+        right.append(y)
+    return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
 
 
-def group_links(ids: np.ndarray, weights: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one opened group: edges that connect what is linked (a, b), and for each document the weight of the documents linked to it.
+def compare(units: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, inside: bool, count_links: bool = False) -> DataFrame:
+    """(a, b, links): edges that connect linked nodes and, if asked for, (node, null, rows linked), of what units (pos, gid) find.
 
-    Similar documents are put side by side and ROW_DOCS of them make a row of the token-group matrix, which holds the union of their tokens.
-    A query's overlap with a union bounds that with every member; only rows whose bound allows a link are opened. Sides: 0 and 1 are the two
-    blocks of a pair, only documents of different sides are compared; side 2 is compared with all.
+    A unit's node is compared with the members of the group and, if ``inside``, the members of all groups with each other. A group with many
+    queries is opened several times, each time with about QUERIES of them.
     """
-    m, size = len(ids), np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((ids, [int(s[0]) >> 1 if len(s) else 0 for s in sets], [int(s[len(s) // 2]) >> 60 if len(s) else 0 for s in sets]))
-    ids, weights, sides, size, sets = ids[order], weights[order], sides[order], size[order], [sets[i] for i in order]
-    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), size)
-    shared = count[token] > 1
-    token, owner = (np.cumsum(count > 1) - 1)[token[shared]], owner[shared]
-    width, rows = int((count > 1).sum()), -(-m // ROW_DOCS)
-    bound = np.zeros((m, rows), np.float32)
-    by_token = np.argsort(token, kind="stable")
-    cuts = np.searchsorted(token[by_token], np.arange(0, width + COLUMNS, COLUMNS))
-    for c in range(len(cuts) - 1):
-        pick = by_token[cuts[c] : cuts[c + 1]]
-        x = np.zeros((m, min(COLUMNS, width - c * COLUMNS)), np.float32)
-        x[owner[pick], token[pick] - c * COLUMNS] = 1
-        union = np.maximum.reduceat(x, np.arange(0, m, ROW_DOCS), axis=0)
-        bound += x @ union.T
-    first = np.searchsorted(owner, np.arange(m + 1))
-    links, left, right = np.zeros(m, np.int64), [], []
-    column = np.full(width, -1, np.int64)
-    for j in range(rows):
-        lo, hi = j * ROW_DOCS, min(m, (j + 1) * ROW_DOCS)
-        opened = np.flatnonzero(bound[:, j] * 100 >= percent * size)
-        opened = opened[opened < hi]  # each pair once: the query is the one that comes first, or in this row
-        if not len(opened):
-            continue
-        members = token[first[lo] : first[hi]]
-        union = np.unique(members)
-        column[union] = np.arange(len(union))
-        table = np.zeros((hi - lo, len(union)), np.int32)
-        table[owner[first[lo] : first[hi]] - lo, column[members]] = 1
-        for q in opened:
-            at = column[token[first[q] : first[q + 1]]]
-            both = table[:, at[at >= 0]].sum(1)
-            y = np.arange(lo, hi)
-            good = (100 * both >= percent * (size[q] + size[lo:hi] - both)) & (y > q) & ((sides[q] == 2) | (sides[q] != sides[lo:hi]))
-            y = y[good]
-            links[q] += weights[y].sum()
-            links[y] += weights[q]
-            left.append(np.full(len(y), q))
-            right.append(y)
-        column[union] = -1
-    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
-    label = min_labels(m, a, b) if len(a) else np.arange(m)
-    away = label != np.arange(m)
-    return np.stack([ids[label[away]], ids[away]]), ids, links
-
-
-def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
+    sizes = materialise(units.groupBy("gid").agg(F.count("*").alias("asked")))
+    turns = F.expr(f"cast(ceil(asked / {QUERIES}) as int)")
+    asking = join_groups(units, sizes, ["gid"], "asked").select("pos", "gid", F.pmod(F.xxhash64("pos"), turns.cast("long")).cast("int").alias("turn"), F.lit(False).alias("member"))
+    if inside:
+        alone = nodes.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1").select("gid", F.lit(1).cast("long").alias("asked"))
+        sizes = alone.unionByName(sizes).groupBy("gid").agg(F.max("asked").alias("asked"))
+    members = nodes.join(sizes, "gid").select("pos", "gid", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(True).alias("member"))
+    wanted = asking.unionByName(members).join(texts, "pos")
+    full = wanted.select("gid", "turn", "pos", "member", "copies", "text").repartition("gid", "turn").sortWithinPartitions("gid", "turn", "pos")
+
+    def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, 2):
+            pos, member, copies = (np.asarray(table.column(c)) for c in ("pos", "member", "copies"))
+            column = table.column("text").combine_chunks()
+            inner = [s for _, part in shingle_sets(column.filter(pa.array(member)), words) for s in part]
+            name, weight = pos[member], copies[member]
+            links: dict[int, int] = {}
+            jobs = [(pos[~member], copies[~member], column.filter(pa.array(~member)), None)]
+            if inside and table.column("turn")[0].as_py() == 0:
+                jobs.append((name, weight, None, inner))
+            left, right = [], []
+            for who, times, texts, known in jobs:
+                for first, sets in [(0, known)] if known is not None else shingle_sets(texts, words):
+                    if not sets:
+                        continue
+                    own = np.arange(len(sets)) if known is not None else np.full(len(sets), -1)
+                    q, y = open_group(inner, sets, own, percent)
+                    q = q + first
+                    left.append(who[q])
+                    right.append(name[y])
+                    if count_links:
+                        for i, j in zip(q.tolist(), y.tolist(), strict=True):
+                            links[int(who[i])] = links.get(int(who[i]), 0) + int(weight[j])
+                            links[int(name[j])] = links.get(int(name[j]), 0) + int(times[i])
+            a, b = forest(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "links"])
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.int64()), pa.nulls(len(links), pa.int64()), pa.array(list(links.values()), pa.int64())], names=["a", "b", "links"])
+
+    return materialise(full.mapInArrow(opening, "a bigint, b bigint, links bigint"))
+
+
+def enough(pairs: DataFrame) -> DataFrame:
+    """(pos, gid) of the rows (pos, gid, k, need), one for each shared signature, that are as many as a link of class k needs."""
+    counted = pairs.groupBy("pos", "gid", "k").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    return materialise(counted.filter("shared >= need").select("pos", "gid").distinct())
+
+
+def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if asked for, n_links for every row of ``docs``.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id that links
-    lead to, n_links the number of documents linked directly. Equal sets are one node until the end. Documents without words, null texts
-    included, have an empty set and no link, not even with each other. Rows that repeat a doc_id are one document. A null doc_id counts
-    as 0 while candidates are sought. Other columns are not looked at. The result is exact: signatures only choose what is compared.
-    A group of more than ``block`` documents is opened in pairs of blocks, each a task's work of bounded size.
+    lead to, n_links the number of rows linked directly. Documents without words, null texts included, have an empty set and no link, not
+    even with each other. Rows that repeat a doc_id are documents of their own. Rows with a null doc_id are compared like all others;
+    their id is never the smallest, and component_id is null where links lead to no other. Other columns are not looked at.
+
+    Equal sets (by number of shingles and 128 bits of hashes) are one node. Nodes that share a signature are sorted by their least shingle and
+    cut into groups of GROUP similar ones. The matrix of the tokens (here the signatures) of groups' unions bounds what a node can share with
+    any member: groups are opened for a node only if it has as many signatures in the union as a link needs. The result is exact, as
+    signatures only choose what is compared, on the texts' own shingles.
+
+    Without n_links, groups that components show to be connected with a node need not be opened for it: first each node asks, for each of its
+    signatures, only the first group that has it, and a second pass opens those groups alone that have members of another component. So
+    a family of near copies costs about as many comparisons as it has members. With n_links every qualifying group is opened.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    spark = docs.sparkSession
     rows = materialise(sketch(docs, words))
-    classes = materialise(rows.filter("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    groups = candidate_groups(docs, words, percent)
-    members = groups.withColumnRenamed("node", "rep").join(classes.select("rep", "copies"), "rep")
-    sizes = members.groupBy("component").agg(F.count("*").alias("docs")).filter("docs > 1")
-    placed = members.join(sizes, "component").withColumn("blocks", F.expr(f"cast(ceil(docs / {block}) as int)")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    units = materialise(
-        placed.select("rep", "copies", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("rep", "copies", F.col("component").alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("case when own = other then 2 when own < other then 0 else 1 end").alias("side"))
-    )
-    texts = docs.join(units.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    opened = units.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("unit", "i", "j", "side", "rep", "copies", "text")
-    # A block pair (i, j) needs the documents of both blocks only; those of block i that came for another pair are elsewhere.
-    opened = opened.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "rep")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_runs(batches, 3):
-            ids, at = np.unique(np.asarray(table.column("rep")), return_index=True)
-            sets = [s for _, part in shingle_sets(table.column("text").combine_chunks().take(pa.array(at)), words) for s in part]
-            edges, names, links = group_links(ids, np.asarray(table.column("copies"))[at], np.asarray(table.column("side"))[at], sets, percent)
-            some = links > 0
-            if some.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([edges[0], names[some]])), pa.array([*edges[1].tolist(), *[None] * int(some.sum())], pa.int64()), pa.array(np.concatenate([np.zeros(edges.shape[1], np.int64), links[some]]))], names=["a", "b", "links"]
-                )
-
-    found = materialise(opened.mapInArrow(compare, "a bigint, b bigint, links bigint"))
-    components = connected_components(found.filter("b is not null").select("a", "b"))
-    linked = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = materialise(classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left").select("n_shingles", "h1", "h2", "rep", "copies", "component", "links"))
-    full = join_groups(rows.filter("n_shingles > 0"), known, ["n_shingles", "h1", "h2"], "copies").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(empty)
+    some = rows.filter("n_shingles > 0")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "t")).alias("least")
+    classes = materialise(some.groupBy("n_shingles", "h1", "h2").agg(least, F.min("lead").alias("lead"), F.count("*").alias("copies")).select("n_shingles", "h1", "h2", "lead", "copies", F.col("least.doc_id").alias("rep"), "least.t"))
+    shingles = some.agg(F.sum("n_shingles")).first()[0] or 0
+    found = materialise(shared_signatures(docs, words, percent, max(shuffle_width(spark), shingles * 6 // PART_BYTES)))
+    chosen = classes.join(found.select("h1").distinct(), "h1").repartitionByRange("lead", "h1", "h2").sortWithinPartitions("lead", "h1", "h2")
+    nodes = materialise(chosen.withColumn("pos", F.monotonically_increasing_id()).withColumn("gid", F.expr(f"pos div {GROUP}")))
+    entries = materialise(found.join(nodes.select("h1", "pos", "gid"), "h1").select("sig", "k", "need", "pos", "gid"))
+    # A text is found by its id and its own hash, and taken once, however many rows repeat both.
+    key = ["t", "null_id", "id"]
+    once = docs.groupBy(F.xxhash64("text").alias("t"), F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).alias("id")).agg(F.first("text").alias("text"))
+    texts = materialise(nodes.select("pos", "copies", "t", F.col("rep").isNull().alias("null_id"), F.coalesce("rep", F.lit(0)).alias("id")).join(once, key).select("pos", "copies", "text"))
+    if count_links:
+        held = entries.withColumn("component", F.col("pos"))
+    else:
+        first = entries.groupBy("sig").agg(F.min("gid").alias("to"))
+        asked = enough(entries.join(first, "sig").filter("gid > to").select("pos", F.col("to").alias("gid"), "k", "need"))
+        edges = connected_components(compare(asked, nodes, texts, words, percent, inside=True).select("a", "b"))
+        held = materialise(entries.join(edges.withColumnRenamed("node", "pos"), "pos", "left").withColumn("component", F.coalesce("component", "pos")))
+    matrix = held.groupBy("sig", F.col("gid").alias("to")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("need").alias("less"))
+    pairs = held.join(matrix, "sig").filter("to > gid" if count_links else "to > gid and (low != component or high != component)")
+    asked = enough(pairs.select("pos", F.col("to").alias("gid"), "k", F.least("need", "less").alias("need")))
+    out = compare(asked, nodes, texts, words, percent, inside=count_links, count_links=count_links)
+    links = out.filter("b is not null").select("a", "b")
+    if not count_links:
+        links = links.unionByName(edges.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    components = nodes.join(connected_components(links).withColumnRenamed("node", "pos"), "pos")
+    named = components.join(components.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("n_shingles", "h1", "h2", "pos", "component_id")
+    if count_links:
+        counted = out.filter("b is null").groupBy(F.col("a").alias("pos")).agg(F.sum("links").alias("links"))
+        named = named.join(counted, "pos", "left")
+    key = ["n_shingles", "h1", "h2"]
+    known = materialise(classes.select(*key, "copies", "rep").join(named.drop("pos"), key, "left"))
+    number = {"n_links": F.coalesce("links", F.lit(0)) + F.col("copies") - 1} if count_links else {}
+    full = join_groups(some.select("doc_id", *key), known, key, "copies").withColumns({"component_id": F.coalesce("component_id", "rep"), **number})
+    empty = rows.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), **({"n_links": F.lit(0).cast("long")} if count_links else {})})
+    columns = ["doc_id", "n_shingles", "component_id", *number]
+    return full.select(columns).unionByName(empty.select(columns))
