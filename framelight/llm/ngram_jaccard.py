@@ -14,11 +14,13 @@ from .common import LOWER, NOT_SPACE, blob_shuffle, byte_words, connected_compon
 
 SHINGLE, PERCENT = 5, 80
 #: Documents of a group, a row of the token-group matrix.
-GROUP = 16
+GROUP = 512
 #: Queries that one opening of a group compares.
 QUERIES = 512
 #: Sets of one slice of input that may go to a signature's owner; a slice has at most about SLICE signatures.
-HOT, SLICE = 64, 2_000_000
+HOT, SLICE, MANY = 64, 2_000_000, 1 << 30
+#: Shared tokens of queries and members that are counted at once.
+COUNTED = 4_000_000
 #: Bytes of signatures that one task gathers, about.
 PART_BYTES = 32 << 20
 U64 = np.uint64
@@ -57,20 +59,20 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, list[np.nd
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, t (a hash of the text) and n_shingles, two hashes and the least shingle of the whole set."""
+    """doc_id, t (a hash of the text), n_shingles and two hashes of the whole set."""
 
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            n, h1, h2, lead = (np.zeros(len(column), t) for t in (np.int64, U64, U64, U64))
+            n, h1, h2 = (np.zeros(len(column), t) for t in (np.int64, U64, U64))
             for a, sets in shingle_sets(column, words):
                 for i, s in enumerate(sets, a):
                     if len(s):
-                        n[i], lead[i] = len(s), s[0]
+                        n[i] = len(s)
                         h1[i], h2[i] = set_hash(s), mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)
-            yield pa.StructArray.from_arrays([pa.array(n), *(pa.array(x.view(np.int64)) for x in (h1, h2, lead))], names=["n", "h1", "h2", "lead"])
+            yield pa.StructArray.from_arrays([pa.array(n), *(pa.array(x.view(np.int64)) for x in (h1, h2))], names=["n", "h1", "h2"])
 
-    udf = F.arrow_udf(of, "struct<n:bigint,h1:bigint,h2:bigint,lead:bigint>")
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), udf("text").alias("s")).select("doc_id", "t", F.col("s.n").alias("n_shingles"), "s.h1", "s.h2", "s.lead")
+    udf = F.arrow_udf(of, "struct<n:bigint,h1:bigint,h2:bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), udf("text").alias("s")).select("doc_id", "t", F.col("s.n").alias("n_shingles"), "s.h1", "s.h2")
 
 
 def set_hash(s: np.ndarray) -> np.uint64:
@@ -127,7 +129,9 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]
 
 
 def shared_signatures(docs: DataFrame, words: int, percent: int, width: int) -> DataFrame:
-    """(sig, h1, k, need): the signatures, of class k, that at least two different sets have, each with the sets (h1) that have it.
+    """(sig, h1, k, need, sets): the signatures, of class k, that at least two different sets have, with each set (h1) that has it.
+
+    sets is the number of sets that came to the owner, or MANY for those that did not need to.
 
     Signatures travel as packed arrays to the task that owns their hash range; a set that a slice of the input holds several times is sent
     once. Of a signature with over HOT sets in one slice only two sets go to its owner, as a sign that it is shared; the others are known to
@@ -174,8 +178,9 @@ def shared_signatures(docs: DataFrame, words: int, percent: int, width: int) ->
             yield from send(known, owner, table)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(sig: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(name[:, 0]), *(pa.array(name[:, c].astype(np.int32)) for c in (1, 2))], names=["sig", "h1", "k", "need"])
+        def rows(sig: np.ndarray, name: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            columns = [sig.view(np.int64), name[:, 0], *(x.astype(np.int32) for x in (name[:, 1], name[:, 2], count))]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "h1", "k", "need", "sets"])
 
         sigs, whose, names, base = [], [], [], 0
         for batch in batches:
@@ -186,7 +191,7 @@ def shared_signatures(docs: DataFrame, words: int, percent: int, width: int) ->
                 name = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(n, 3)
                 sig, who = np.frombuffer(raw, U64, m, 16 + 24 * n), np.frombuffer(raw, "<u2", m, 16 + 24 * n + 8 * m)
                 if kind:
-                    yield rows(sig, name[who])
+                    yield rows(sig, name[who], np.full(len(sig), MANY))
                     continue
                 sigs.append(sig)
                 whose.append(who.astype(np.int32) + np.int32(base))
@@ -206,36 +211,51 @@ def shared_signatures(docs: DataFrame, words: int, percent: int, width: int) ->
         once = np.ones(len(sig), bool)
         once[1:] = (sig[1:] != sig[:-1]) | (name[who[1:], 0] != name[who[:-1], 0])
         sig, who = sig[once], who[once]
-        same = sig[1:] == sig[:-1]
-        some = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(sig) else once[:0]
-        if some.any():
-            yield rows(sig[some], name[who[some]])
+        if len(sig):
+            new = np.concatenate([[True], sig[1:] != sig[:-1]])
+            count = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+            some = count > 1
+            yield rows(sig[some], name[who[some]], count[some])
 
     blobs = docs.select("text").mapInArrow(emit, "part int, payload binary")
-    return blob_shuffle(blobs, width).mapInArrow(gather, "sig bigint, h1 bigint, k int, need int")
+    return blob_shuffle(blobs, width).mapInArrow(gather, "sig bigint, h1 bigint, k int, need int, sets int")
 
 
 def open_group(members: list[np.ndarray], sets: list[np.ndarray], own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, member) of all links between queries' sets and the members of one group.
 
     The group's row of the token matrix is the union of its members' shingles. A query's overlap with the union bounds that with every
-    member; only if the bound allows a link are the members' own rows looked at. own: the place of a query that is itself a member,
+    member; only if the bound allows a link are the members that have its shingles counted. own: the place of a query that is itself a member,
     which is compared with the members after it only; -1 for others.
     """
-    size = np.array([len(s) for s in members], np.int64)
-    union, place = np.unique(np.concatenate(members), return_inverse=True)
-    table = np.zeros((len(members), len(union)), bool)
-    table[np.repeat(np.arange(len(members)), size), place] = True
+    m, size = len(members), np.array([len(s) for s in members], np.int64)
+    tokens, owner = np.concatenate(members), np.repeat(np.arange(m), size)
+    order = np.argsort(tokens, kind="stable")
+    owner = owner[order]
+    union, first = np.unique(tokens[order], return_index=True)
+    first = np.append(first, len(owner))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    asked = np.concatenate(sets)
+    at = np.searchsorted(union, asked)
+    at[at == len(union)] = 0
+    inside = union[at] == asked
+    bound = np.add.reduceat(np.append(inside, False).astype(np.int64), cuts[:-1])
+    times = np.where(inside, first[at + 1] - first[at], 0)
+    load = np.add.reduceat(np.append(times, 0), cuts[:-1])
+    open_ = np.flatnonzero(bound * 100 >= percent * sizes)
     left, right = [], []
-    for q, s in enumerate(sets):
-        at = np.searchsorted(union, s)
-        at[at == len(union)] = 0
-        at = at[union[at] == s]
-        if len(at) * 100 < percent * len(s):
-            continue
-        both = np.count_nonzero(table[:, at], axis=1)
-        y = np.flatnonzero((100 * both >= percent * (len(s) + size - both)) & (np.arange(len(members)) > own[q]))
-        left.append(np.full(len(y), q))
+    while len(open_):
+        some = open_[: max(1, int(np.searchsorted(np.cumsum(load[open_]), COUNTED, side="right")))]
+        open_ = open_[len(some) :]
+        pick = np.concatenate([np.arange(cuts[q], cuts[q + 1]) for q in some])
+        pick = pick[inside[pick]]
+        n, query = times[pick], np.repeat(np.arange(len(some)), bound[some])
+        places = np.arange(n.sum()) + np.repeat(first[at[pick]] - (np.cumsum(n) - n), n)
+        both = np.bincount(np.repeat(query, n) * m + owner[places], minlength=len(some) * m).reshape(len(some), m)
+        good = 100 * both >= percent * (sizes[some, None] + size[None, :] - both)
+        q, y = np.nonzero(good & (np.arange(m)[None, :] > own[some, None]))
+        left.append(some[q])
         right.append(y)
     return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
 
@@ -303,8 +323,8 @@ def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT,
     even with each other. Rows that repeat a doc_id are documents of their own. Rows with a null doc_id are compared like all others;
     their id is never the smallest, and component_id is null where links lead to no other. Other columns are not looked at.
 
-    Equal sets (by number of shingles and 128 bits of hashes) are one node. Nodes that share a signature are sorted by their least shingle and
-    cut into groups of GROUP similar ones. The matrix of the tokens (here the signatures) of groups' unions bounds what a node can share with
+    Equal sets (by number of shingles and 128 bits of hashes) are one node. Nodes that share a signature are sorted by the
+    commonest one of theirs and cut into groups of GROUP similar ones. The matrix of the tokens (here the signatures) of groups' unions bounds what a node can share with
     any member: groups are opened for a node only if it has as many signatures in the union as a link needs. The result is exact, as
     signatures only choose what is compared, on the texts' own shingles.
 
@@ -317,10 +337,11 @@ def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT,
     rows = materialise(sketch(docs, words))
     some = rows.filter("n_shingles > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "t")).alias("least")
-    classes = materialise(some.groupBy("n_shingles", "h1", "h2").agg(least, F.min("lead").alias("lead"), F.count("*").alias("copies")).select("n_shingles", "h1", "h2", "lead", "copies", F.col("least.doc_id").alias("rep"), "least.t"))
+    classes = materialise(some.groupBy("n_shingles", "h1", "h2").agg(least, F.count("*").alias("copies")).select("n_shingles", "h1", "h2", "copies", F.col("least.doc_id").alias("rep"), "least.t"))
     shingles = some.agg(F.sum("n_shingles")).first()[0] or 0
     found = materialise(shared_signatures(docs, words, percent, max(shuffle_width(spark), shingles * 6 // PART_BYTES)))
-    chosen = classes.join(found.select("h1").distinct(), "h1").repartitionByRange("lead", "h1", "h2").sortWithinPartitions("lead", "h1", "h2")
+    lead = found.groupBy("h1").agg(F.max(F.struct("sets", "sig")).alias("lead"))
+    chosen = classes.join(lead, "h1").repartitionByRange("lead", "h1", "h2").sortWithinPartitions("lead", "h1", "h2")
     nodes = materialise(chosen.withColumn("pos", F.monotonically_increasing_id()).withColumn("gid", F.expr(f"pos div {GROUP}")))
     entries = materialise(found.join(nodes.select("h1", "pos", "gid"), "h1").select("sig", "k", "need", "pos", "gid"))
     # A text is found by its id and its own hash, and taken once, however many rows repeat both.
@@ -341,8 +362,9 @@ def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT,
     links = out.filter("b is not null").select("a", "b")
     if not count_links:
         links = links.unionByName(edges.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    components = nodes.join(connected_components(links).withColumnRenamed("node", "pos"), "pos")
-    named = components.join(components.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("n_shingles", "h1", "h2", "pos", "component_id")
+    components = materialise(nodes.select("n_shingles", "h1", "h2", "pos", "rep").join(connected_components(links).withColumnRenamed("node", "pos"), "pos"))
+    ids = materialise(components.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")))
+    named = join_groups(components, ids, ["component"], "size").select("n_shingles", "h1", "h2", "pos", "component_id")
     if count_links:
         counted = out.filter("b is null").groupBy(F.col("a").alias("pos")).agg(F.sum("links").alias("links"))
         named = named.join(counted, "pos", "left")
