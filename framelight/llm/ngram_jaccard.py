@@ -7,14 +7,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, blob_shuffle, byte_words, connected_components, forest, join_groups, materialise, mix, prefix_hash, shuffle_width, sorted_runs, span_hash, text_slices
 
 SHINGLE, PERCENT = 5, 80
-#: Documents of a group, a row of the token-group matrix.
-GROUP = 512
+#: Shingles of the members of a group, a row of the token-group matrix.
+GROUP_TOKENS = 1 << 19
+#: The pass that only prepares looks at one signature in so many.
+FEW = 4
 #: Queries that one opening of a group compares.
 QUERIES = 512
 #: Sets of one slice of input that may go to a signature's owner; a slice has at most about SLICE signatures.
@@ -266,32 +269,36 @@ def compare(units: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, pe
     A unit's node is compared with the members of the group and, if ``inside``, the members of all groups with each other. A group with many
     queries is opened several times, each time with about QUERIES of them.
     """
-    sizes = materialise(units.groupBy("gid").agg(F.count("*").alias("asked")))
-    turns = F.expr(f"cast(ceil(asked / {QUERIES}) as int)")
-    asking = join_groups(units, sizes, ["gid"], "asked").select("pos", "gid", F.pmod(F.xxhash64("pos"), turns.cast("long")).cast("int").alias("turn"), F.lit(False).alias("member"))
+    sizes = units.groupBy("gid").agg(F.count("*").alias("asked"))
     if inside:
-        alone = nodes.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1").select("gid", F.lit(1).cast("long").alias("asked"))
-        sizes = alone.unionByName(sizes).groupBy("gid").agg(F.max("asked").alias("asked"))
-    members = nodes.join(sizes, "gid").select("pos", "gid", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(True).alias("member"))
+        alone = nodes.groupBy("gid").agg(F.count("*").alias("asked")).filter("asked > 1")
+        sizes = alone.unionByName(sizes).groupBy("gid").agg(F.sum("asked").alias("asked"))
+    sizes = materialise(sizes)
+    turns = F.expr(f"cast(ceil(asked / {QUERIES}) as int)")
+    turn = F.pmod(F.xxhash64("pos"), turns.cast("long")).cast("int")
+    asking = join_groups(units, sizes, ["gid"], "asked").select("pos", "gid", turn.alias("turn"), F.lit(False).alias("member"), F.lit(True).alias("asks"))
+    members = nodes.join(sizes, "gid").select("pos", "gid", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(True).alias("member"), turn.alias("own"))
+    members = members.select("pos", "gid", "turn", "member", (F.col("own") == F.col("turn")).alias("asks"))
     wanted = asking.unionByName(members).join(texts, "pos")
-    full = wanted.select("gid", "turn", "pos", "member", "copies", "text").repartition("gid", "turn").sortWithinPartitions("gid", "turn", "pos")
+    full = wanted.select("gid", "turn", "pos", "member", "asks", "copies", "text").repartition("gid", "turn").sortWithinPartitions("gid", "turn", "pos")
 
     def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, 2):
-            pos, member, copies = (np.asarray(table.column(c)) for c in ("pos", "member", "copies"))
+            pos, member, asks, copies = (np.asarray(table.column(c)) for c in ("pos", "member", "asks", "copies"))
             column = table.column("text").combine_chunks()
             inner = [s for _, part in shingle_sets(column.filter(pa.array(member)), words) for s in part]
             name, weight = pos[member], copies[member]
             links: dict[int, int] = {}
             jobs = [(pos[~member], copies[~member], column.filter(pa.array(~member)), None)]
-            if inside and table.column("turn")[0].as_py() == 0:
-                jobs.append((name, weight, None, inner))
+            some = np.flatnonzero(asks[member])
+            if inside and len(some):
+                jobs.append((name[some], weight[some], None, [inner[i] for i in some]))
             left, right = [], []
             for who, times, texts, known in jobs:
                 for first, sets in [(0, known)] if known is not None else shingle_sets(texts, words):
                     if not sets:
                         continue
-                    own = np.arange(len(sets)) if known is not None else np.full(len(sets), -1)
+                    own = some if known is not None else np.full(len(sets), -1)
                     q, y = open_group(inner, sets, own, percent)
                     q = q + first
                     left.append(who[q])
@@ -309,10 +316,37 @@ def compare(units: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, pe
     return materialise(full.mapInArrow(opening, "a bigint, b bigint, links bigint"))
 
 
-def enough(pairs: DataFrame) -> DataFrame:
-    """(pos, gid) of the rows (pos, gid, k, need), one for each shared signature, that are as many as a link of class k needs."""
+def grouped(chosen: DataFrame) -> DataFrame:
+    """``chosen`` in the order of lead, numbered (pos) and cut into groups (gid) of about GROUP_TOKENS shingles.
+
+    Groups run on across the parts of the order: the parts' sums of shingles, one number a part, are added up in the driver.
+    """
+    spark = chosen.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, tokens = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            ahead = np.cumsum(np.asarray(batch.column("n_shingles"))) + tokens
+            pos = np.arange(rows, rows + batch.num_rows) + (np.int64(part) << 33)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pos), pa.array(np.full(len(pos), part, np.int32)), pa.array(ahead)], names=[*batch.schema.names, "pos", "part", "ahead"])
+            if batch.num_rows:
+                rows, tokens = rows + batch.num_rows, int(ahead[-1])
+
+    in_order = chosen.repartitionByRange("lead", "h1", "h2").sortWithinPartitions("lead", "h1", "h2").drop("lead")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in in_order.schema) + ", pos bigint, part int, ahead bigint"
+    rows = materialise(in_order.mapInArrow(count, schema))
+    before, sums = 0, []
+    for part, tokens in sorted(rows.groupBy("part").agg(F.max("ahead")).collect()):
+        sums.append((part, before))
+        before += tokens
+    offsets = spark.createDataFrame(sums, "part int, before bigint")
+    return materialise(rows.join(F.broadcast(offsets), "part").withColumn("gid", F.expr(f"(before + ahead - 1) div {GROUP_TOKENS}")).drop("part", "ahead", "before"))
+
+
+def enough(pairs: DataFrame, few: int = 1) -> DataFrame:
+    """(pos, gid) of the rows (pos, gid, k, need), one for each shared signature in ``few``, that are as many as a link of class k needs."""
     counted = pairs.groupBy("pos", "gid", "k").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
-    return materialise(counted.filter("shared >= need").select("pos", "gid").distinct())
+    return materialise(counted.filter(F.col("shared") * few >= F.col("need")).select("pos", "gid").distinct())
 
 
 def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
@@ -324,11 +358,11 @@ def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT,
     their id is never the smallest, and component_id is null where links lead to no other. Other columns are not looked at.
 
     Equal sets (by number of shingles and 128 bits of hashes) are one node. Nodes that share a signature are sorted by the
-    commonest one of theirs and cut into groups of GROUP similar ones. The matrix of the tokens (here the signatures) of groups' unions bounds what a node can share with
+    commonest one of theirs and cut into groups of similar ones. The matrix of the tokens (here the signatures) of groups' unions bounds what a node can share with
     any member: groups are opened for a node only if it has as many signatures in the union as a link needs. The result is exact, as
     signatures only choose what is compared, on the texts' own shingles.
 
-    Without n_links, groups that components show to be connected with a node need not be opened for it: first each node asks, for each of its
+    Without n_links, groups that components show to be connected with a node need not be opened for it: first each node asks, for one in FEW of its
     signatures, only the first group that has it, and a second pass opens those groups alone that have members of another component. So
     a family of near copies costs about as many comparisons as it has members. With n_links every qualifying group is opened.
     """
@@ -341,8 +375,7 @@ def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT,
     shingles = some.agg(F.sum("n_shingles")).first()[0] or 0
     found = materialise(shared_signatures(docs, words, percent, max(shuffle_width(spark), shingles * 6 // PART_BYTES)))
     lead = found.groupBy("h1").agg(F.max(F.struct("sets", "sig")).alias("lead"))
-    chosen = classes.join(lead, "h1").repartitionByRange("lead", "h1", "h2").sortWithinPartitions("lead", "h1", "h2")
-    nodes = materialise(chosen.withColumn("pos", F.monotonically_increasing_id()).withColumn("gid", F.expr(f"pos div {GROUP}")))
+    nodes = grouped(classes.join(lead, "h1"))
     entries = materialise(found.join(nodes.select("h1", "pos", "gid"), "h1").select("sig", "k", "need", "pos", "gid"))
     # A text is found by its id and its own hash, and taken once, however many rows repeat both.
     key = ["t", "null_id", "id"]
@@ -351,8 +384,9 @@ def ngram_jaccard(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT,
     if count_links:
         held = entries.withColumn("component", F.col("pos"))
     else:
-        first = entries.groupBy("sig").agg(F.min("gid").alias("to"))
-        asked = enough(entries.join(first, "sig").filter("gid > to").select("pos", F.col("to").alias("gid"), "k", "need"))
+        part = entries.filter(F.pmod(F.xxhash64("sig"), F.lit(FEW)) == 0)
+        first = part.groupBy("sig").agg(F.min("gid").alias("to"))
+        asked = enough(part.join(first, "sig").filter("gid > to").select("pos", F.col("to").alias("gid"), "k", "need"), FEW)
         edges = connected_components(compare(asked, nodes, texts, words, percent, inside=True).select("a", "b"))
         held = materialise(entries.join(edges.withColumnRenamed("node", "pos"), "pos", "left").withColumn("component", F.coalesce("component", "pos")))
     matrix = held.groupBy("sig", F.col("gid").alias("to")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("need").alias("less"))
