@@ -160,7 +160,7 @@ def backoff_seconds(attempt: Column | str, base: float = 1.0, factor: float = 2.
 
 
 # fixed values: markers of errors that no retry mends
-TERMINAL_MARKERS = ("404", "410", "gone", "not found", "removed", "deleted", "tos")
+TERMINAL_MARKERS = ("removed", "robots", "terms of service", "tos", "404")
 
 
 def error_class(status: Column | str, message: Column | str, whole_words: bool = False) -> Column:
@@ -188,6 +188,7 @@ def valid_timestamp(ts: Column | str, duration: Column | str) -> Column:
 
 
 def sprite_grid(url: Column | str) -> Column:
-    """(columns, rows) of a sprite from its url suffix, else null."""
-    n = F.regexp_extract(col(url), r"\.([0-9]+)\.s\.jpg$", 1).try_cast("int")
-    return F.when(n > 0, F.struct(n.alias("columns"), F.lit(1).alias("rows"))).when(col(url).endswith(".webp"), F.struct(F.lit(20).alias("columns"), F.lit(1).alias("rows")))
+    """(columns, rows) of a sprite from the end of its url's path: 20 by 1 for a hover sprite WxH.s.webp, N by 1 for .N.s.jpg, .png or .webp."""
+    path = F.regexp_extract(col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    n = F.regexp_extract(path, r"\.([0-9]+)\.s\.(?:jpe?g|webp|png)$", 1).try_cast("int")
+    return F.when(path.rlike(r"[0-9]+x[0-9]+\.s\.webp$"), F.struct(F.lit(20).alias("columns"), F.lit(1).alias("rows"))).when(n.isNotNull(), F.struct(n.alias("columns"), F.lit(1).alias("rows")))

@@ -45,8 +45,7 @@ def last_observations(observations: DataFrame) -> DataFrame:
 def integrity(cases: DataFrame, observations: DataFrame) -> DataFrame:
     """Per policy: missing, extra and duplicate observations."""
     o = observations.groupBy("policy", "case_id").agg(F.count("*").alias("n"))
-    grid = observations.select("policy").distinct().join(F.broadcast(cases.select("case_id").agg(F.collect_set("case_id").alias("ids"))))  # policies are few
-    want = grid.select("policy", F.explode("ids").alias("case_id")).withColumn("wanted", F.lit(True))
+    want = cases.select("case_id").distinct().join(F.broadcast(observations.select("policy").distinct())).withColumn("wanted", F.lit(True))  # policies are few
     j = want.join(o, ["policy", "case_id"], "full_outer")
     return j.groupBy("policy").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("wanted").isNull()).alias("extra"), F.count_if(F.col("n") > 1).alias("duplicates"))
 
@@ -112,15 +111,57 @@ def improved_or_equal(cases: DataFrame, observations: DataFrame, base: str, refi
     return a.join(b, "case_id").agg(F.count("*").alias("pairs"), F.round(F.avg(F.when(F.col("y") <= F.col("x"), 100.0).otherwise(0.0)), 4).alias("improved_or_equal"))
 
 
-def coverage(cases: DataFrame, min_per_segment: int = 3) -> DataFrame:
-    """What a set of cases covers: counts, sorted distinct fault codes, validity."""
-    j = cases.withColumn("bucket", C.duration_bucket("duration_ms")).withColumn("copies", F.count("*").over(Window.partitionBy("case_id")))
-    codes = F.array(F.when(F.col("copies") > 1, "duplicate_case"), F.when(F.col("bucket").isNull(), "duration_missing"), F.when(F.col("expected").isNotNull() & F.col("timestamp_ms").isNull(), "truth_missing"), F.when(F.col("timestamp_ms") >= F.col("duration_ms"), "truth_outside"))
-    faults = j.select(F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("code"))
-    thin = j.filter("expected is not null and bucket is not null").groupBy("source", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") < min_per_segment).select(F.lit("thin_segment").alias("code"))
-    errors = faults.unionByName(thin).agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("errors"))
-    counts = j.agg(F.count("*").alias("cases"), F.count_distinct("case_id").alias("distinct_cases"), F.count_distinct("source").alias("sources"), F.count_distinct("bucket").alias("buckets"))
-    return counts.join(errors).withColumn("valid", F.col("errors") == "")  # one row each
+# fixed values: what a set of cases must cover
+REQUIRED_SOURCES, REQUIRED_BUCKETS = ("local", "web"), ("<5m", "5-15m", ">15m")
+
+
+def coverage_errors(cases: DataFrame, min_cases: int, min_per_segment: int) -> DataFrame:
+    """(error), each once: what a set of cases lacks. cases: case_id, expected, source, duration_ms, timestamp_ms. Only positives are held to it."""
+    c = cases.withColumn("bucket", C.duration_bucket("duration_ms"))
+    positive = c.filter("expected is not null")
+    t, d = F.col("timestamp_ms"), F.col("duration_ms")
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    per_case = F.array(
+        F.when(F.trim(F.coalesce("source", F.lit(""))) == "", "invalid_source"), F.when(yes(t < 0) | (F.col("bucket").isNotNull() & yes(t >= d)), "invalid_timestamp"),
+        F.when(~yes((d > 0) & (t >= 0) & (t < d)), "invalid_truth"), F.when(F.col("bucket").isNull(), "invalid_duration"),
+    )
+    rows = positive.select("case_id", F.explode(F.filter(per_case, lambda x: x.isNotNull())).alias("code")).select(F.concat_ws(":", "code", "case_id").alias("error"))
+    twice = c.groupBy("case_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.concat(F.lit("duplicate_case_ids:"), "case_id").alias("error"))
+    thin = positive.filter("bucket is not null").groupBy("source", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") < min_per_segment)
+    thin = thin.select(F.format_string(f"segment_too_small:%s/%s:%d<{min_per_segment}", "source", "bucket", "n").alias("error"))
+    whole = positive.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("source").isin(*REQUIRED_SOURCES), F.col("source"))).alias("s"), F.collect_set("bucket").alias("b"))
+    lacks = lambda name, need, have: F.when(F.size(F.array_except(F.array(*map(F.lit, need)), F.col(have))) > 0, F.concat(F.lit(name), F.array_join(F.array_except(F.array(*map(F.lit, need)), F.col(have)), ",")))
+    of_all = F.array(
+        F.when(F.col("n") < min_cases, F.format_string(f"minimum_positive_cases:%d<{min_cases}", "n")),
+        lacks("missing_sources:", REQUIRED_SOURCES, "s"), lacks("missing_duration_buckets:", REQUIRED_BUCKETS, "b"),
+    )
+    return rows.unionByName(twice).unionByName(thin).unionByName(whole.select(F.explode(F.filter(of_all, lambda x: x.isNotNull())).alias("error"))).distinct()
+
+
+def coverage(cases: DataFrame, min_cases: int, min_per_segment: int) -> DataFrame:
+    """Counts of a set of cases, the number of its errors, and whether it may be used."""
+    positive = F.col("expected").isNotNull()
+    counts = cases.agg(
+        F.count("*").alias("cases"), F.count_distinct("case_id").alias("distinct_cases"), F.count_if(positive).alias("positives"),
+        F.count_distinct(F.when(positive, F.col("case_id"))).alias("distinct_positives"), F.count_distinct(F.when(positive, F.col("source"))).alias("sources"),
+        F.count_distinct(F.when(positive, C.duration_bucket("duration_ms"))).alias("buckets"),
+    )
+    errors = coverage_errors(cases, min_cases, min_per_segment).agg(F.count("*").alias("errors"))
+    return counts.join(errors).withColumn("valid", (F.col("errors") == 0) & (F.col("distinct_positives") >= min_cases))  # one row each
+
+
+def costs(cases: DataFrame, observations: DataFrame) -> DataFrame:
+    """Per policy over observed cases: sums of assets, bytes and embeddings, and nearest-rank latencies."""
+    o = observations.join(cases.select("case_id"), "case_id", "left_semi")
+    return o.groupBy("policy").agg(*[F.sum(c).alias(c) for c in ("assets", "bytes", "embeddings")], nearest_rank("elapsed_ms", 0.5).alias("p50"), nearest_rank("elapsed_ms", 0.95).alias("p95"))
+
+
+def sample_per_variant(frames: DataFrame, variants: DataFrame, k: int, seed: int) -> DataFrame:
+    """k frames of each variant, by the rank of a hash of frame, variant and seed. Each task keeps k of a variant before the shuffle."""
+    grid = frames.select("frame_id").join(F.broadcast(variants.select("variant")))  # variants are a handful by contract
+    order = F.struct(F.crc32(F.concat_ws(":", "frame_id", "variant", F.lit(seed))).alias("h"), "frame_id")
+    rank = F.row_number().over(Window.partitionBy("variant").orderBy(order))
+    return grid.withColumn("place", rank).filter(F.col("place") <= k)
 
 
 def throughput(runs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def enqueue(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.select("request_id", "job_type", "dedupe_key", reused.alias("reused"), F.coalesce("active_id", "first").alias("target_id"))
 
 
-def after_failure(jobs: DataFrame, now: Column, max_attempts: int = 5) -> DataFrame:
+def after_failure(jobs: DataFrame, now: Column, max_attempts: int = 3) -> DataFrame:
     """State of failed jobs: terminal errors and spent attempts fail, others wait. jobs: job_id, attempts, http_status, error."""
     attempts = F.col("attempts") + 1
     dead = (C.error_class("http_status", "error") == "terminal") | (attempts >= max_attempts)
@@ -79,29 +79,52 @@ def eligibility(requests: DataFrame, videos: DataFrame, sources: DataFrame) -> D
 
 
 def rate_limit(requests: DataFrame, max_rps: float, min_interval_ms: float) -> DataFrame:
-    """Deterministic replay of a token bucket (capacity ``max_rps``) with a least interval: source, i, arrival_ms, start_ms, wait_ms.
+    """Replay of a token bucket without jitter: source, i, arrival_ms, start_ms, wait_ms. requests: source, arrival_ms.
 
-    requests: source, arrival_ms. The order within a source is sequential by nature, so each source is one fold; there are few requests a
-    source and run by contract.
+    The bucket holds ``max_rps`` tokens and starts full; a request waits until it holds one token and the least interval has passed, then takes
+    one, which may leave less than none where ``max_rps`` is below one. Requests of a source follow each other, so its order is sequential by
+    nature; sources are dealt to tasks, sorted and streamed, and only the state of the current one is held.
     """
-    start = F.struct(F.lit(float(max_rps)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.expr("cast(array() as array<double>)").alias("starts"))
+    sent = requests.select(F.col("source").cast("string"), F.col("arrival_ms").cast("double")).repartition("source").sortWithinPartitions("source", "arrival_ms")
 
-    def step(s: Column, arrival: Column) -> Column:
-        at = F.greatest(arrival, F.coalesce(s["last"] + min_interval_ms, arrival))
-        tokens = F.least(F.lit(float(max_rps)), s["tokens"] + F.coalesce((at - s["last"]) / 1000.0 * max_rps, F.lit(0.0)))
-        extra = F.when(tokens >= min(1.0, max_rps), F.lit(0.0)).otherwise((F.lit(min(1.0, max_rps)) - tokens) / max_rps * 1000.0)
-        go = at + extra
-        return F.struct((F.least(F.lit(float(max_rps)), tokens + extra / 1000.0 * max_rps) - min(1.0, max_rps)).alias("tokens"), go.alias("last"), F.concat(s["starts"], F.array(go)).alias("starts"))
+    def replay_sources(batches):
+        import pandas as pd
 
-    folded = requests.groupBy("source").agg(F.array_sort(F.collect_list(F.col("arrival_ms").cast("double"))).alias("a")).withColumn("s", F.aggregate("a", start, step)["starts"])
-    rows = folded.select("source", F.posexplode(F.arrays_zip(F.col("a").alias("a"), F.col("s").alias("s"))).alias("i", "x"))
-    return rows.select("source", "i", F.col("x.a").alias("arrival_ms"), F.col("x.s").alias("start_ms"), (F.col("x.s") - F.col("x.a")).alias("wait_ms"))
+        source, tokens, last, place = None, 0.0, None, 0
+        for batch in batches:
+            places, starts = [], []
+            for name, arrival in zip(batch["source"], batch["arrival_ms"], strict=True):
+                if name != source:
+                    source, tokens, last, place = name, float(max_rps), None, 0
+                now = arrival if last is None else max(arrival, last)
+                if last is not None:
+                    tokens = min(max_rps, tokens + (now - last) / 1000 * max_rps)
+                wait = max(0.0, (1 - tokens) / max_rps * 1000, 0.0 if last is None else min_interval_ms - (now - last))
+                last, tokens = now + wait, min(max_rps, tokens + wait / 1000 * max_rps) - 1
+                places.append(place)
+                starts.append(last)
+                place += 1
+            yield pd.DataFrame({"source": batch["source"], "i": places, "arrival_ms": batch["arrival_ms"], "start_ms": starts, "wait_ms": [s - a for s, a in zip(starts, batch["arrival_ms"], strict=True)]})
+
+    return sent.mapInPandas(replay_sources, "source string, i int, arrival_ms double, start_ms double, wait_ms double")
+
+
+def rate_accounting(replayed: DataFrame) -> DataFrame:
+    """Per source of a replay: requests, those that waited, and the total wait in whole milliseconds."""
+    return replayed.groupBy("source").agg(F.count("*").alias("requests"), F.count_if(F.col("wait_ms") > 0).alias("rate_limit_waits"), F.rint(F.sum("wait_ms")).cast("long").alias("total_wait_ms"))
+
+
+def rate_specs(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Rate of each source, every field overridden on its own: source, min_interval_ms, max_rps."""
+    o = overrides.select("source", F.col("min_interval_ms").alias("__i"), F.col("max_rps").alias("__r"))
+    return defaults.join(o, "source", "left").select("source", F.coalesce("__i", "min_interval_ms").alias("min_interval_ms"), F.coalesce("__r", "max_rps").alias("max_rps"))
 
 
 def compliance_faults(sources: DataFrame) -> DataFrame:
-    """Reasons in fixed order why a source may not be used; mock sources are exempt. sources: source, access_method, robots_reviewed, terms_reviewed, min_interval_ms, max_rps."""
+    """Reasons, in fixed order, why a source may not be used. sources: source, robots_reviewed, terms_reviewed, review_date, enabled."""
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     checks = F.array(
-        F.when(~F.coalesce("robots_reviewed", F.lit(False)), "robots_not_reviewed"), F.when(~F.coalesce("terms_reviewed", F.lit(False)), "terms_not_reviewed"),
-        F.when(F.coalesce(F.col("min_interval_ms") <= 0, F.lit(True)) & F.coalesce(F.col("max_rps") <= 0, F.lit(True)), "no_rate_limit"), F.when(~F.col("access_method").isin("api", "sitemap", "json", "html", "browser"), "unknown_access_method"),
+        F.when(no("robots_reviewed"), "robots_reviewed"), F.when(no("terms_reviewed"), "terms_reviewed"),
+        F.when(F.col("review_date").isNull(), "review_date"), F.when(no("enabled"), "enabled"),
     )
-    return sources.select("source", F.when(F.col("source") == "mock", F.expr("cast(array() as array<string>)")).otherwise(F.filter(checks, lambda x: x.isNotNull())).alias("faults"))
+    return sources.select("source", F.filter(checks, lambda x: x.isNotNull()).alias("faults"))

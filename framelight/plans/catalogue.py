@@ -185,11 +185,6 @@ def frame_sequence_keys(spark: SparkSession, sf: str) -> DataFrame:
     return T.frames(spark, sf).withColumn("n", F.row_number().over(w) - 1).select("frame_id", C.frame_seq("timestamp_ms", "n").alias("frame_seq"))
 
 
-@query()
-def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return T.videos(spark, sf).select("video_id", C.uuid5(C.VIDEO_NAMESPACE, "external_id").alias("id"))
-
-
 # ---- store --------------------------------------------------------------------------------------------------------------------------------
 @query(T.sql("select video_id, frame_id, case when frame_id % 4 = 0 then -1 else phash end as phash from fr union all select video_id, frame_id + 1000000, 7 from fr where frame_id % 10 = 0", "fr"))
 def upsert_frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,12 +301,6 @@ def enqueue_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.enqueue(j.filter("job_id % 10 = 0"), j.filter("job_id % 2 = 1").select(F.col("job_id").alias("request_id"), "job_type", "dedupe_key")).select("request_id", "reused", "target_id")
 
 
-@query(T.sql("""select job_id, attempts + 1 as attempts, case when dead then 'failed' else 'pending' end as status, case when not dead then least(pow(2, attempts), 3600)::double end as delay_s
-    from (select *, coalesce(http_status = 404, false) or error like '%removed%' or attempts + 1 >= 5 as dead from jo)""", "jo"))
-def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.after_failure(T.jobs(spark, sf), now()).drop("not_before")
-
-
 @query()
 def rate_limit_replay(spark: SparkSession, sf: str) -> DataFrame:
     e = T.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("arrival_ms"))
@@ -386,11 +375,6 @@ def temporal_improvement(spark: SparkSession, sf: str) -> DataFrame:
     return E.improved_or_equal(T.cases(spark, sf), T.observations(spark, sf), "dense", "sparse")
 
 
-@query(T.sql("select count(*) as cases, count(distinct case_id) as distinct_cases, count(distinct source) as sources, count(distinct case when duration_ms < 300000 then 1 when duration_ms <= 900000 then 2 else 3 end) as buckets, '' as errors, true as valid from ca", "ca"))
-def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
-    return E.coverage(T.cases(spark, sf))
-
-
 # ---- refinement ---------------------------------------------------------------------------------------------------------------------------
 @query(T.sql("select search_id, rank::int as rank, source from (select *, row_number() over (partition by search_id order by rank) as p from (select *, row_number() over (partition by search_id, source order by rank) as s from ra) where s <= case when source = 'src1' then 1 else 3 end) where p <= 3", "ra"))
 def refinement_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -455,12 +439,6 @@ def format_position(spark: SparkSession, sf: str) -> DataFrame:
     return T.videos(spark, sf).select("video_id", C.format_position("duration_ms").alias("shown"))
 
 
-@query("select event_id, case when event_id % 4 = 0 then 'terminal' when event_id % 3 = 0 then 'terminal' else 'transient' end as class from events")
-def classify_errors(spark: SparkSession, sf: str) -> DataFrame:
-    e = T.read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, 410).otherwise(500).alias("s"), F.when(F.col("event_id") % 3 == 0, "Video REMOVED").otherwise("time out").alias("m"))
-    return e.select("event_id", C.error_class("s", "m").alias("class"))
-
-
 @query("select page_id, nullif(trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title, len(regexp_extract_all(coalesce(html, ''), '(?i)<a[^>]*href=\"([^\"]*)\"', 1)) as links, len(regexp_extract_all(coalesce(html, ''), '(?i)<p[ >]')) as paragraphs from pages")
 def parse_page_meta(spark: SparkSession, sf: str) -> DataFrame:
     return pages.page_meta(T.read(spark, sf, "pages"))
@@ -491,3 +469,6 @@ def profile_hash(spark: SparkSession, sf: str) -> DataFrame:
 def event_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     e = T.read(spark, sf, "events")
     return e.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
+
+
+from . import more  # noqa: E402, F401  registers the other queries

@@ -135,8 +135,10 @@ def test_rate_limit(spark):
     rows = [("a", float(t)) for t in (0, 10, 20, 9000)]
     got = jobs.rate_limit(spark.createDataFrame(rows, "source string, arrival_ms double"), 2.0, 400).orderBy("i").collect()
     assert [r.start_ms for r in got] == [0, 400, 800, 9000]
-    slow = jobs.rate_limit(spark.createDataFrame([("a", 0.0)] * 3, "source string, arrival_ms double"), 0.5, 2000).orderBy("i").collect()
-    assert all(b.start_ms - a.start_ms >= 2000 for a, b in zip(slow, slow[1:], strict=False))
+    slow = jobs.rate_limit(spark.createDataFrame([("a", 0.0)] * 5 + [("b", 7.0)], "source string, arrival_ms double"), 0.5, 2000).orderBy("source", "i").collect()
+    assert [round(r.start_ms) for r in slow] == [1000, 4000, 7000, 10000, 13000, 1007]
+    counted = {r.source: tuple(r)[1:] for r in jobs.rate_accounting(spark.createDataFrame(slow)).collect()}
+    assert counted == {"a": (5, 5, 35000), "b": (1, 1, 1000)}
 
 
 def test_refine_rules(spark):
@@ -169,9 +171,10 @@ def test_store(spark, tmp_path):
 
 
 def test_compliance(spark):
-    rows = [("mock", "x", False, False, 0, 0.0), ("a", "api", True, True, 100, 1.0), ("b", "ftp", False, True, 0, 0.0)]
-    got = {r.source: r.faults for r in jobs.compliance_faults(spark.createDataFrame(rows, "source string, access_method string, robots_reviewed boolean, terms_reviewed boolean, min_interval_ms int, max_rps double")).collect()}
-    assert got == {"mock": [], "a": [], "b": ["robots_not_reviewed", "no_rate_limit", "unknown_access_method"]}
+    rows = [("a", True, True, "2024", True), ("b", False, True, None, False), ("c", None, False, "2024", None)]
+    got = {r.source: r.faults for r in jobs.compliance_faults(spark.createDataFrame(rows, "source string, robots_reviewed boolean, terms_reviewed boolean, review_date string, enabled boolean")).collect()}
+    assert got == {"a": [], "b": ["robots_reviewed", "review_date", "enabled"], "c": ["robots_reviewed", "terms_reviewed", "enabled"]}
+
 
 
 def test_sources(spark):
@@ -201,3 +204,16 @@ def test_windows_of_events(spark, sf_dir, tmp_path):
     for name, f in (("tumble", events.tumbling), ("session", events.sessions)):
         q = f(spark.readStream.schema(schema).parquet(str(tmp_path / "e"))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         assert q.awaitTermination(120) and spark.table(name).count() > 0
+
+
+def test_rules(spark):
+    from framelight.functions import rules as R
+
+    private = {"::1": True, "fd00::1": True, "fe80::2": True, "2001:db8::1": False, "::ffff:10.0.0.1": True, "8.8.8.8": False, "008.8.8.8": True, "x": True, "": True, "1.2.3": True}
+    for ip, want in private.items():
+        assert one(spark, R.private_ip(F.lit(ip))) is want, ip
+    assert one(spark, R.private_ip(F.lit(None).cast("string"))) is True
+    import zlib
+
+    assert one(spark, R.stamp_colour(F.lit("x7"))) == f"#{zlib.crc32(b'x7') & 0xFFFFFF:06x}"
+    assert one(spark, R.uniform_timestamps(F.lit(0), F.lit(3))) == [] and one(spark, R.uniform_timestamps(F.lit(10), F.lit(4))) == [0, 2, 5, 8]
