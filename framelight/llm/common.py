@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -29,11 +28,10 @@ def crc_fold(column: str, folds: int):
 
 
 def work_path(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """A fresh folder below spark.checkpoint.dir, which all executors share; below the warehouse, which they share too, where it is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="framelight-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/framelight/{uuid.uuid4().hex}"
 
 
