@@ -9,17 +9,16 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, materialise
 
 #: (verdict, rule); a rule is a host and, from its first slash, a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words that mark a host as unwanted; they label the urls that naive Bayes learns from.
-SEEDS = ("casino", "poker", "bet", "betting", "pills", "viagra", "pharma", "porn", "xxx", "sex", "adult", "cheap", "ads", "bets", "loan", "loans", "payday", "replica", "warez", "torrent", "crack", "spam", "malware", "escort", "dating", "jackpot", "slots", "free", "win", "winner", "prize")
 SMOOTHING = 0.1
-LONGEST_WORD = 20
+#: The name system's limits: no label of a host is longer than 63, no host than 253 characters.
+LONGEST_LABEL, LONGEST_HOST = 63, 253
 _PIECE = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
@@ -67,7 +66,7 @@ class Segmenter:
     def split(self, name: str) -> list[str]:
         best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
+            for start in range(max(0, end - LONGEST_LABEL), end):
                 word = name[start:end]
                 c = self.cost.get(word)
                 if c is None:
@@ -115,27 +114,23 @@ def log_odds(tokens: DataFrame, totals: tuple[int, int], types: int) -> DataFram
 def count_words(pages: DataFrame) -> DataFrame:
     """word, n: counts of all words of all urls and html of all pages, names between separators; the table stays distributed."""
     texts = [F.expr(f"regexp_extract_all(lower(coalesce({c}, '')), '[a-z]+', 0)") for c in ("url", "html") if c in pages.columns]
-    words = pages.select(F.explode(F.concat(*texts)).alias("word")).filter(F.length("word").between(2, LONGEST_WORD))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    return pages.select(F.explode(F.concat(*texts)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def host_tokens(pages: DataFrame, hosts: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
-    """host, size, named, bad for every row of ``hosts`` (host, size): the host's tokens, and whether a seed word is among them.
+def host_tokens(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """host, size, named for every row of ``hosts`` (host, size): the tokens of the host.
 
-    The substrings of the hosts are looked up by a join in the counts of all words, so each host is split by the whole table. Seeds are
-    words in any case.
+    The substrings of the hosts, from two letters to a label's longest, are looked up by a join in the counts of all words, so each host is
+    split by the whole table. A host longer than the name system allows is not split: its runs of letters are its words.
     """
     counted = materialise(count_words(pages))
     total = counted.agg(F.sum("n")).first()[0] or 0
-    least, own = total // 2000 + 1, {r["word"]: r["n"] for r in counted.filter(F.col("word").isin(list(seeds))).collect()}
-    seeded = {s: max(own.get(s, 0), least) for s in seeds}
-    total += sum(n - own.get(s, 0) for s, n in seeded.items())
-    segmenter = Segmenter.fit(seeded, total)
+    unknown = Segmenter.fit({}, total).unknown
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for host in batch.column(0).to_pylist():
-                found = {x[i:j] for x in re.findall("[a-z]+", host) for i in range(len(x)) for j in range(i + 2, min(len(x), i + LONGEST_WORD) + 1)}
+                found = {x[i:j] for x in re.findall("[a-z]+", host) for i in range(len(x)) for j in range(i + 2, min(len(x), i + LONGEST_LABEL) + 1)}
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([host] * len(found)), pa.array(sorted(found))], names=["host", "word"])
 
@@ -143,61 +138,61 @@ def host_tokens(pages: DataFrame, hosts: DataFrame, seeds: Sequence[str] = SEEDS
         for names, words in columns:
             out = []
             for host, known in zip(names.to_pylist(), words.to_pylist(), strict=True):
-                cost = {w["word"]: -math.log(w["n"] / total) for w in known or ()}
-                tokens = tokens_of(host, "", Segmenter(cost | segmenter.cost, segmenter.unknown), {})
-                out.append({"named": tokens, "bad": any(t[2:] in segmenter.cost for t in tokens)})
-            yield pa.array(out, pa.struct([("named", pa.list_(pa.string())), ("bad", pa.bool_())]))
+                segmenter = Segmenter({w["word"]: -math.log(w["n"] / total) for w in known or ()}, unknown)
+                whole = {x: [x] for x in _PIECE.findall(host)} if len(host) > LONGEST_HOST else {}
+                out.append(tokens_of(host, "", segmenter, whole))
+            yield pa.array(out, pa.list_(pa.string()))
 
-    pairs = hosts.select("host").mapInArrow(substrings, "host string, word string")
+    pairs = hosts.select("host").filter(F.length("host") <= LONGEST_HOST).mapInArrow(substrings, "host string, word string")
     known = materialise(pairs.groupBy("word").agg(F.count("*").alias("size")).join(counted, "word"))
     pairs = materialise(join_groups(pairs, known, ["word"], "size").select("host", "word", "n"))
     found = pairs.groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    udf = F.arrow_udf(split, "struct<named:array<string>,bad:boolean>")
-    return hosts.join(found, "host", "left").withColumn("j", udf("host", "words")).select("host", "size", "j.named", "j.bad")
+    return hosts.join(found, "host", "left").select("host", "size", F.arrow_udf(split, "array<string>")("host", "words").alias("named"))
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, learn_from: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score for every row of ``pages``.
 
-    A rule's verdict stands; other urls are judged by naive Bayes over the words of the segmented host and of the path, learned from all
-    pages: urls whose host has a seed word are examples of block, all others of allow. A null url, or one without ://, has an empty host
-    and path, fits no rule and is judged by the prior. Repeated rows are judged alike; an empty table gives no rows.
+    A rule's verdict stands; other urls are judged by naive Bayes over the words of the segmented host and of the path. It learns from
+    all urls that a rule decides, with all their tokens and the rule's verdict as the label; ``learn_from``, a condition on host and path,
+    leaves some of them out to measure on. Without any, every url's score is 0.5 and it is allowed. A null url, or one without ://, has an
+    empty host and path, fits no rule and is judged by the prior. Of equally long rules the one with the longer host decides. Repeated
+    rows are judged alike; an empty table gives no rows; other columns, of whatever name, are not looked at.
     Tokens are counted as they are, in a distributed table; only the totals reach the driver.
     """
     spark = pages.sparkSession
     host, path = split_url()
     named = spark.sparkContext.broadcast(Rules(rules))
+
+    def apply_rules(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for hosts, paths in columns:
+            judged = [named.value.judge(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
+            yield pa.array([{"rule": r, "verdict": v} for r, v in judged], pa.struct([("rule", pa.string()), ("verdict", pa.string())]))
+
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = materialise(split.groupBy("host", "path").agg(F.count("*").alias("n")))
-    hosts = materialise(host_tokens(pages, urls.groupBy("host").agg(F.count("*").alias("size")), seeds))
-    urls = materialise(join_groups(urls, hosts, ["host"], "size").select("host", "path", "n", "named", "bad").withColumn("url", F.monotonically_increasing_id()))
+    ruled = F.arrow_udf(apply_rules, "struct<rule:string,verdict:string>")
+    urls = materialise(split.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("j", ruled("host", "path")))
+    hosts = materialise(host_tokens(pages, urls.groupBy("host").agg(F.count("*").alias("size"))))
+    label = F.when(F.lit(True) if learn_from is None else learn_from, F.col("j.verdict"))
+    urls = materialise(join_groups(urls, hosts, ["host"], "size").select("host", "path", "n", "named", "j", label.alias("label"), F.monotonically_increasing_id().alias("url")))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for url, p, names, n, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for url, p, names, n, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if found := Counter(names + path_tokens(p)):
-                    times = [n * k for k in found.values()]
-                    none = [0] * len(found)
-                    columns = [pa.array([url] * len(found)), pa.array(list(found)), pa.array(list(found.values())), pa.array(none if bad else times), pa.array(times if bad else none)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["url", "token", "times", "allow", "block"])
+                    times, none = [n * k for k in found.values()], [0] * len(found)
+                    columns = [[url] * len(found), list(found), list(found.values()), times if label == "allow" else none, times if label == "block" else none]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["url", "token", "times", "allow", "block"])
 
-    words = materialise(urls.select("url", "path", "named", "n", "bad").mapInArrow(words_of, "url bigint, token string, times bigint, allow bigint, block bigint"))
+    words = materialise(urls.select("url", "path", "named", "n", "label").mapInArrow(words_of, "url bigint, token string, times bigint, allow bigint, block bigint"))
     counted = materialise(words.groupBy("token").agg(F.count("*").alias("size"), F.sum("allow").alias("allow"), F.sum("block").alias("block")))
     allow, block, types = counted.agg(F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0)), F.count("*")).first()
     odds = join_groups(words.select("url", "token", "times"), materialise(log_odds(counted, (allow, block), max(types, 1))), ["token"], "size").groupBy("url").agg(F.sum(F.col("times") * F.col("odds")).alias("odds"))
-    seen = urls.agg(F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0))).first()
-    prior = math.log((seen[1] + 1) / (seen[0] + 1))
-
-    def judge(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for hosts, paths, sums in columns:
-            out = []
-            for h, p, odds in zip(hosts.to_pylist(), paths.to_pylist(), sums.to_pylist(), strict=True):
-                rule, verdict = named.value.judge(h, p)
-                odds = prior + (odds or 0.0)
-                out.append((rule, verdict or ("block" if odds > 0 else "allow"), 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))))
-            rule, verdict, score = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.StructArray.from_arrays([pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["rule", "verdict", "block_score"])
-
-    udf = F.arrow_udf(judge, "struct<rule:string,verdict:string,block_score:double>")
-    judged = materialise(urls.join(odds, "url", "left").withColumn("j", udf("host", "path", "odds")).select("host", "path", "n", "j"))
-    return join_groups(split, judged, ["host", "path"], "n").select("page_id", "host", "path", "j.rule", "j.verdict", "j.block_score")
+    seen = {r.label: r.n for r in urls.filter("label is not null").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    prior = math.log((seen.get("block", 0) + 1) / (seen.get("allow", 0) + 1))
+
+    log_ratio = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.lit(prior) + F.coalesce("odds", F.lit(0.0))))
+    judged = urls.join(odds, "url", "left").select("host", "path", "n", "j", log_ratio.alias("odds"))
+    verdict = F.coalesce("j.verdict", F.when(F.col("odds") > 0, "block").otherwise("allow"))
+    judged = materialise(judged.select("host", "path", "n", "j.rule", verdict.alias("verdict"), (1 / (1 + F.exp(-F.col("odds")))).alias("block_score")))
+    return join_groups(split, judged, ["host", "path"], "n").select("page_id", "host", "path", "rule", "verdict", "block_score")
