@@ -14,8 +14,9 @@ from .common import crc_fold, text_slices
 
 FOLDS, HELD_OUT = 4, 2
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 16, 256
-#: At most so many documents of each language, by the order of a hash of their id, and so many windows of each, are learned from.
-DOCS_A_LANGUAGE, WINDOWS_A_DOC = 400, 6
+#: At most so many documents of each language, by the order of a hash of their id, are learned from, whole; and none that takes their
+#: sum beyond so many bytes.
+DOCS_A_LANGUAGE, BYTES_A_LANGUAGE = 400, 1 << 21
 EPOCHS, BATCH, STEP = 4, 64, 0.02
 UNDETERMINED = "und"
 
@@ -68,14 +69,18 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out.reshape(-1, LENGTH), count
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) -> ByteCnn:
-    """Stochastic gradient descent with Adagrad steps on cross-entropy; gradients reach the filters through the pooled positions only."""
+def train(x: np.ndarray, y: np.ndarray, languages: list[str], weight: np.ndarray | None = None, seed: int = 7) -> ByteCnn:
+    """Stochastic gradient descent with Adagrad steps on cross-entropy; gradients reach the filters through the pooled positions only.
+
+    ``weight`` is that of each window among those of its language; all languages weigh the same.
+    """
     rng = np.random.default_rng(seed)
     shape = [(w, 256, FILTERS) for w in WIDTHS]
     model = ByteCnn(languages, [rng.normal(0, 0.3, s).astype(np.float32) for s in shape], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.2, (FILTERS * len(WIDTHS), len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
     if not len(x) or len(languages) < 2:
         return model
-    weight = (len(y) / (len(languages) * np.maximum(1, np.bincount(y, minlength=len(languages)))))[y].astype(np.float32)
+    weight = np.ones(len(y)) if weight is None else weight
+    weight = (len(y) / (len(languages) * np.maximum(1e-9, np.bincount(y, weight, len(languages))))[y] * weight).astype(np.float32)
     held = [np.full_like(p, 1e-6) for p in (*model.tables, *model.biases, model.out, model.out_bias)]
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
@@ -103,38 +108,43 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) ->
     return model
 
 
-def lowest_places(ids: DataFrame, count: int) -> DataFrame:
-    """The rows (doc_id, lang) in the first 2^-16 parts of the hash range that hold ``count`` rows of their language.
+def lowest_hashes(ids: DataFrame, count: int, size: int) -> DataFrame:
+    """Of each language at most ``count`` ids (doc_id, lang, bytes), those with the lowest hashes, of no more than ``size`` bytes in sum.
 
-    The counts of the parts are made before any row is moved, so that ranking a common language meets about ``count`` rows in its task,
-    however many tasks read the table. What is looked up by broadcast is one row for each language.
+    Rows are counted for each language first, and only those below a hash that about twice ``count`` rows of their language are below
+    are moved to be ranked, so a common language brings no more rows into its task than a rare one. Rows of one id are one entry, made
+    before anything is moved; ids of more than an eighth of ``size`` are passed over. What is looked up by broadcast is one row for each
+    language.
     """
-    placed = ids.withColumn("place", F.shiftright(F.xxhash64("doc_id"), 48))
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("place"))
-    last = placed.groupBy("lang", "place").count().withColumn("upto", upto).filter(F.col("upto") - F.col("count") < count).groupBy("lang").agg(F.max("place").alias("last"))
-    return placed.join(F.broadcast(last), "lang").filter("place <= last").select("doc_id", "lang")
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    share = ids.groupBy("lang").agg((2.0 * count / F.count("*")).alias("share"))
+    few = ids.withColumn("place", place).join(F.broadcast(share), "lang").filter("place <= share")
+    few = few.groupBy("lang", "place", "doc_id").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") <= size // 8)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    ranked = few.withColumn("r", F.row_number().over(order)).withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.filter((F.col("r") <= count) & (F.col("sum") <= size)).select("doc_id", "lang")
 
 
-def fit_language(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> ByteCnn:
+def fit_language(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, bytes_a_language: int = BYTES_A_LANGUAGE) -> ByteCnn:
     """Learns from documents with text and lang outside the held-out fold: a bounded number of each language, so that rare ones count.
 
-    The ids are ranked first, without texts; the texts of the chosen few are looked up by broadcast of their ids.
+    The ids are ranked first, without texts; the texts of the chosen few are looked up by broadcast of their ids. All windows of a
+    chosen text are learned from; they share the weight of their document.
     """
     usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(crc_fold("doc_id", FOLDS) != HELD_OUT)
-    ranked = lowest_places(usable.select("doc_id", "lang"), docs_a_language).select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("r")).filter(F.col("r") <= docs_a_language)
-    chosen = F.broadcast(ranked.select("doc_id", "lang"))
-    size = LENGTH * WINDOWS_A_DOC
-    # a run of windows from a place in the text that the id's hash decides; only training looks at less than the whole text
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1).cast("long"), F.char_length("text") - size + 1)) + 1
-    got = usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", F.substring("text", at.cast("int"), F.lit(size)).alias("text"), "doc_id").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    sized = usable.select("doc_id", "lang", F.octet_length("text").alias("bytes")).filter("bytes > 0")
+    chosen = F.broadcast(lowest_hashes(sized, docs_a_language, bytes_a_language))
+    got = usable.select("lang", "text", "doc_id").join(chosen, ["doc_id", "lang"]).select("lang", "text", "doc_id")
+    got = got.toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     names = got.column("lang").to_pylist()
     languages = sorted(set(names))
-    xs, ys = [np.zeros((0, LENGTH), np.uint8)], [np.zeros(0, np.int64)]
+    xs, ys, weights = [np.zeros((0, LENGTH), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for a, b, data, offsets in text_slices(got.column("text")):
         x, count = windows(data, offsets)
         xs.append(x)
         ys.append(np.repeat([languages.index(n) for n in names[a:b]], count))
-    return train(np.concatenate(xs), np.concatenate(ys).astype(np.int64), languages)
+        weights.append(np.repeat(1 / np.maximum(count, 1), count))
+    return train(np.concatenate(xs), np.concatenate(ys).astype(np.int64), languages, np.concatenate(weights))
 
 
 _LETTER = np.zeros(256, bool)
@@ -175,8 +185,9 @@ def language_id(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Data
     """doc_id, held_out, lang_pred, score for every row of ``docs``.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing can be learned. With one learned
-    language every other text is of that. Repeated rows are judged alike; an empty table gives no rows; other columns are not looked at.
+    language every other text is of that. A null doc_id is of no fold: it is not held out, and not learned from. Repeated rows are judged
+    alike; an empty table gives no rows; other columns are not looked at.
     """
     model = fit_language(docs.select("doc_id", "text", "lang"), docs_a_language)
     out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (crc_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "language.lang_pred", "language.score")
+    return out.select("doc_id", F.coalesce(crc_fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
