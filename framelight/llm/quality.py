@@ -227,4 +227,4 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = TH
     Only the text is an input of the score. Without usable labels every text gets the prior.
     """
     scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, labels))
-    return scored.select("doc_id", (crc_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
