@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def l2_normalise(v: Column | str) -> Column:
     return F.when(n == 0, F.raise_error(F.lit("zero vector"))).otherwise(F.transform(v, lambda x: x / n))
 
 
+def fake_embedding(pixels: Column | str, dimension: int) -> Column:
+    """A unit vector of the bytes of SHA-256 over the pixels and a four-byte block number: the same pixels give the same vector."""
+    digest = F.concat(*[F.sha2(F.concat(col(pixels), F.unhex(F.lit(f"{block:08x}"))), 256) for block in range((dimension + 31) // 32)])
+    return l2_normalise(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255))
+
+
 def clamp01(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
@@ -106,7 +114,7 @@ def host_display(url: Column | str) -> Column:
 def absolute_url(href: Column | str, host: str) -> Column:
     """Canonical https url of a link, null for another host."""
     h = col(href)
-    return F.when(h.startswith("/") & ~h.startswith("//"), F.concat(F.lit(f"https://{host}"), h)).when(h.rlike(rf"^https?://([a-z0-9-]+\.)*{host}(/|$)"), F.regexp_replace(h, r"^https?://[^/]+", f"https://{host}"))
+    return F.when(h.startswith("/") & ~h.startswith("//"), F.concat(F.lit(f"https://{host}"), h)).when(h.rlike(rf"^https?://([a-z0-9-]+\.)*{re.escape(host)}(/|$)"), F.regexp_replace(h, r"^https?://[^/]+", f"https://{host}"))
 
 
 def format_position(ms: Column | str) -> Column:

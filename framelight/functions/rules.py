@@ -111,9 +111,11 @@ def thumbnail_variant(url: Column | str, position: Column | str) -> Column:
 
 
 def iso_instant(text: Column | str) -> Column:
-    """The instant of an ISO-8601 text, UTC where it has no offset (the session's zone must be UTC); null if it can't be read."""
+    """The instant of an ISO-8601 text, UTC where it has no offset, whatever the session's zone; null if it can't be read."""
     t = col(text)
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"), t.try_cast("timestamp"))
+    time, zone = F.regexp_extract(t, r"[T ](\d{2}:\d{2}[\d:.]*)", 1), F.regexp_extract(t, r"[T ].*?(Z|[+-]\d{2}:?\d{2})$", 1)
+    full = F.concat(F.substring(t, 1, 10), F.lit("T"), F.when(time == "", "00:00:00").when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time), F.when(zone == "", "Z").otherwise(zone))
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"), full.try_cast("timestamp"))
 
 
 def stamp_colour(key: Column | str) -> Column:

@@ -24,6 +24,39 @@ def stale(jobs: DataFrame, now: Column, lease_seconds: int = 300) -> DataFrame:
     return jobs.filter((F.col("status") == "running") & (F.col("locked_at") <= now - F.make_dt_interval(secs=F.lit(lease_seconds))))
 
 
+def reset_stale(jobs: DataFrame, now: Column, lease_seconds: int = 300) -> DataFrame:
+    """All jobs after leases that ran out were taken back: those wait again, without lock. jobs: status, locked_at and others."""
+    gone = F.coalesce((F.col("status") == "running") & (F.col("locked_at") <= now - F.make_dt_interval(secs=F.lit(lease_seconds))), F.lit(False))
+    return jobs.withColumns({"status": F.when(gone, "pending").otherwise(F.col("status")), "locked_at": F.when(~gone, F.col("locked_at"))})
+
+
+def settle(claimed: DataFrame, handled: tuple[str, ...], now: Column, max_attempts: int = 3) -> DataFrame:
+    """State of claimed jobs after their handlers ran: job_id, status, error, delay_ms.
+
+    claimed: job_id, job_type, attempts, http_status, error_class and error (both null where the handler succeeded). A job type without a
+    handler fails for good; another job's error concerns that job only. The delay is never negative.
+    """
+    missing, failed = ~F.col("job_type").isin(*handled), F.col("error_class").isNotNull()
+    text = F.concat_ws(": ", "error_class", F.nullif(F.trim("error"), F.lit("")))
+    after = after_failure(claimed.withColumn("error", text), now, max_attempts).select("job_id", F.col("status").alias("next"), F.greatest(F.lit(0.0), F.col("delay_s") * 1000).alias("delay"))
+    rows = claimed.withColumn("text", text).join(after, "job_id")
+    retried = ~missing & failed
+    return rows.select(
+        "job_id", F.when(missing, "failed").when(failed, F.col("next")).otherwise("done").alias("status"),
+        F.when(missing, F.concat(F.lit("no handler: "), "job_type")).when(failed, F.col("text")).alias("error"), F.when(retried & (F.col("next") == "pending"), F.col("delay")).alias("delay_ms"),
+    )
+
+
+def sweep(videos: DataFrame, frames: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Videos and frames after availability checks: what is gone gets that status, is excluded and loses its frames. checks: video_id, http_status, readable."""
+    from ..functions.rules import availability
+
+    found = checks.select("video_id", availability("http_status", "readable").alias("found")).filter("found <> 'available'")
+    after = videos.join(found, "video_id", "left")
+    kept = after.withColumns({"status": F.coalesce("found", "status"), "excluded": F.col("excluded") | F.col("found").isNotNull()}).drop("found")
+    return kept, frames.join(found, "video_id", "left_anti")
+
+
 def enqueue(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     """Per request: the active job it reuses, or itself if it is the first of its (job_type, dedupe_key). batch: request_id, job_type, dedupe_key."""
     active = jobs.filter(~F.col("status").isin(*TERMINAL)).groupBy("job_type", "dedupe_key").agg(F.min("job_id").alias("active_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,13 +82,37 @@ def states_after(transitions: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.col("status") != "indexed", F.col("e"))).drop("e")
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Writes a new version beside the old ones and then points to it; a failed write leaves the old version in force."""
-    spark, version = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
+def publish_all(tables: dict[str, DataFrame], root: str) -> str:
+    """Writes a new version of all tables beside the old ones and then a pointer to it with the next number.
+
+    Readers take the pointer with the largest number, so the tables change together, and a write that fails anywhere leaves the old version
+    in force: there is nothing to roll back. Pointers are only ever added.
+    """
+    spark, version = next(iter(tables.values())).sparkSession, uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{version}/{name}")
+    number = (_pointer(spark, root) or (0, ""))[0] + 1
+    spark.createDataFrame([(number, version)], _POINTER).coalesce(1).write.mode("append").json(f"{root}/_versions")
     return version
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{spark.read.schema('version string').json(f'{root}/_current').first()[0]}")
+def publish(df: DataFrame, root: str) -> str:
+    """publish_all of a single table."""
+    return publish_all({"data": df}, root)
+
+
+def current(spark: SparkSession, root: str, name: str = "data") -> DataFrame:
+    return spark.read.parquet(f"{root}/{_pointer(spark, root)[1]}/{name}")
+
+
+_POINTER = "number bigint, version string"
+
+
+def _pointer(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    try:
+        row = spark.read.schema(_POINTER).json(f"{root}/_versions").agg(F.max(F.struct("number", "version")).alias("p")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return tuple(row["p"]) if row["p"] else None

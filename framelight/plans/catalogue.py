@@ -471,4 +471,4 @@ def event_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
 
 
-from . import more  # noqa: E402, F401  registers the other queries
+from . import details, more  # noqa: E402, F401  they register the other queries

@@ -217,3 +217,39 @@ def test_rules(spark):
 
     assert one(spark, R.stamp_colour(F.lit("x7"))) == f"#{zlib.crc32(b'x7') & 0xFFFFFF:06x}"
     assert one(spark, R.uniform_timestamps(F.lit(0), F.lit(3))) == [] and one(spark, R.uniform_timestamps(F.lit(10), F.lit(4))) == [0, 2, 5, 8]
+
+
+def test_iso_instants_in_any_zone(spark):
+    from framelight.functions import rules
+
+    texts = {"2024-01-02": 1704153600, "2024-01-02T03:04": 1704164640, "2024-01-02 03:04:05.5+0200": 1704157445, "2024-01-02T03:04Z": 1704164640, "2024-13-02": None, "soon": None, None: None}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+    try:
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules.iso_instant("t").cast("long").alias("s")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert {r["t"]: r["s"] for r in rows} == texts
+
+
+def test_tables_are_published_together(spark, tmp_path):
+    one, two, root = spark.range(3), spark.range(5), str(tmp_path / "index")
+    store.publish_all({"videos": one, "frames": one}, root)
+    broken = two.selectExpr("if(id = 4, raise_error('lost'), id) as id")
+    with pytest.raises(Exception, match="lost"):
+        store.publish_all({"videos": two, "frames": broken}, root)
+    assert [store.current(spark, root, t).count() for t in ("videos", "frames")] == [3, 3]
+    store.publish_all({"videos": two, "frames": one}, root)
+    assert [store.current(spark, root, t).count() for t in ("videos", "frames")] == [5, 3]
+
+
+def test_detail_pages_with_nothing_in_them(spark):
+    from framelight.sources import details
+
+    pages = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "https://h/video.a/", "<meta property='og:title'>")], "page_id long, page_url string, html string")
+    rows = {r["page_id"]: r for r in details.item_details(pages).collect()}
+    assert {k: r["error"] for k, r in rows.items()} == {1: "no_signal", 2: "no_signal", 3: "no_signal"}
+    assert details.thumbnail_gallery(pages.selectExpr("page_id", "html", "page_url as thumbnail_url", "cast(null as bigint) as duration_ms")).count() == 0
+    odd = spark.createDataFrame([(1, r"https:\/\/c\/a\Eb(\/xv_2_t.jpg", r"https://c/a\Eb(/xv_1_t.jpg", 10)], "page_id long, html string, thumbnail_url string, duration_ms long")
+    assert [(r["position"], r["url"], r["timestamp_ms"]) for r in details.thumbnail_gallery(odd).collect()] == [(2, r"https://c/a\Eb(/xv_2_t.jpg", 9)]
+    assert details.page_chain(pages.selectExpr("'s' as source", "page_url as path", "html"), spark.createDataFrame([("s", "/x")], "source string, path string"), 3).count() == 0
