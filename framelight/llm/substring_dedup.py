@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import POWERS, blob_shuffle, materialise, mix, prefix_hash, shuffle_width, sorted_runs, work_path
+from .common import POWERS, blob_shuffle, join_groups, materialise, mix, prefix_hash, shuffle_width, sorted_runs, work_path
 
 LENGTH, GRAM = 200, 32
-#: Occurrences of one anchor that a task sorts; the windows of commoner anchors are counted one by one, wherever they are.
+#: Occurrences of one anchor that a task sorts; the windows of commoner anchors are counted one by one, wherever they are, and compared.
 GROUP_ROWS = 50_000
 BATCH_ROWS = 30_000
 U64 = np.uint64
@@ -277,9 +277,14 @@ def sorted_group_spans(texts: DataFrame, shared: DataFrame) -> DataFrame:
     return cut.repartition("gid").sortWithinPartitions("gid").mapInArrow(spans, _SPANS)
 
 
-def counted_window_spans(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """The same for anchors with very many occurrences: each window of theirs is hashed (two 64-bit hashes) and counted across all tasks."""
-    lists = shared.groupBy("t").agg(F.collect_list(F.struct("gid", "place", "first", "last")).alias("at"))
+def counted_window_spans(texts: DataFrame, shared: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """The same for anchors with very many occurrences, whose groups are too large to sort: windows meet by hash, and are compared byte by byte.
+
+    Each window is hashed and counted across all tasks; equal hashes take the least window (text, place) as their example. Neighbouring
+    windows whose examples are neighbours too make one run, and each run is compared with its example's bytes. Windows that differ from their
+    example (a collision) are counted by their bytes. Common windows and examples are joined by broadcast, so none meets in one task.
+    """
+    mask = np.int64(-1 if hash_bits == 64 else (1 << hash_bits) - 1)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,26 +294,68 @@ def counted_window_spans(texts: DataFrame, shared: DataFrame) -> DataFrame:
                 gid, place, first, last = (np.asarray(at.field(k)) for k in range(4))
                 n = last - first + 1
                 low = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                one, two = prefix_hash(data), prefix_hash(mix(np.arange(256, dtype=U64))[data].view(np.uint8).reshape(-1, 8)[:, 3])
+                prefix = prefix_hash(data)
                 _, down = POWERS.upto(len(data) + 1)
-                h1, h2 = (mix((p[low + LENGTH] - p[low]) * down[low]).view(np.int64) for p in (one, two))
-                columns = [np.repeat(gid, n), np.repeat(place, n) - low, h1, h2, np.full(len(low), batch.column(0)[i].as_py()), low]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gid", "offset", "h1", "h2", "t", "low"])
+                h = mix((prefix[low + LENGTH] - prefix[low]) * down[low]).view(np.int64) & mask
+                columns = [np.repeat(gid, n), np.repeat(place, n) - low, h, np.full(len(low), batch.column(0)[i].as_py()), low]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gid", "offset", "h", "t", "low"])
 
-    cut = texts.join(lists, "t").select("t", F.col("text").cast("binary"), "at").mapInArrow(windows, "gid bigint, offset bigint, h1 bigint, h2 bigint, t bigint, low bigint")
-    cut = materialise(cut)
-    keys = ["gid", "offset", "h1", "h2"]
-    repeated = cut.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return cut.join(repeated, keys).select("t", "low", (F.col("low") + LENGTH).alias("high"))
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                view, asked = batch.column(1)[i].as_buffer().to_pybytes(), batch.column(2)[i].values
+                low, size, n = (np.asarray(asked.field(k)) for k in range(3))
+                cut = pa.array([view[a : a + b] for a, b in zip(low.tolist(), size.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), batch.column(0)[i].as_py())), low, size, n, cut], names=["rt", "rlow", "size", "n", "piece"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t, data, runs = batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8), batch.column(2)[i].values
+                out: list[tuple[int, int, int, bytes | None]] = []
+                low, rt, rlow = (np.asarray(runs.field(k)).tolist() for k in range(3))
+                for a, other, b, piece in zip(low, rt, rlow, runs.field(3), strict=True):
+                    there = np.frombuffer(piece.as_buffer(), np.uint8)
+                    here = data[a : a + len(there)]
+                    if np.array_equal(here, there):
+                        out += [(t, a, a + len(there), None), (other, b, b + len(there), None)]
+                        continue
+                    wrong = np.concatenate([[0], np.cumsum(here != there)])
+                    for k, equal in enumerate((wrong[LENGTH:] == wrong[:-LENGTH]).tolist()):
+                        if equal:
+                            out += [(t, a + k, a + k + LENGTH, None), (other, b + k, b + k + LENGTH, None)]
+                        else:
+                            out.append((t, a + k, a + k + LENGTH, here[k : k + LENGTH].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["t", "low", "high", "odd"])
 
-def substring_dedup(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    lists = shared.groupBy("t").agg(F.collect_list(F.struct("gid", "place", "first", "last")).alias("at"))
+    binary = F.col("text").cast("binary").alias("text")
+    cut = materialise(texts.join(lists, "t").select("t", binary, "at").mapInArrow(windows, "gid bigint, offset bigint, h bigint, t bigint, low bigint"))
+    keys = ["gid", "offset", "h"]
+    example = cut.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("t", "low")).alias("e")).filter("n > 1")
+    example = materialise(example.select(*keys, "n", F.col("e.t").alias("rt"), F.col("e.low").alias("rlow")))
+    met = join_groups(cut, example, keys, "n").filter("t <> rt or low <> rlow").select("t", "low", "rt", (F.col("low") - F.col("rlow")).alias("by"))
+    run = F.col("low") - F.row_number().over(Window.partitionBy("t", "rt", "by").orderBy("low"))
+    runs = met.withColumn("run", run).groupBy("t", "rt", "by", "run").agg(F.min("low").alias("low"), (F.max("low") - F.min("low") + LENGTH).alias("size"))
+    runs = materialise(runs.select("t", "low", "rt", (F.col("low") - F.col("by")).alias("rlow"), "size"))
+    parts = ["rt", "rlow", "size"]
+    asked = runs.groupBy(*parts).agg(F.count("*").alias("n")).groupBy(F.col("rt").alias("t")).agg(F.collect_list(F.struct("rlow", "size", "n")).alias("asked"))
+    found = materialise(texts.join(asked, "t").select("t", binary, "asked").mapInArrow(pieces, "rt bigint, rlow bigint, size bigint, n bigint, piece binary"))
+    held = join_groups(runs, found, parts, "n").groupBy("t").agg(F.collect_list(F.struct("low", "rt", "rlow", "piece")).alias("runs"))
+    checked = materialise(texts.join(held, "t").select("t", binary, "runs").mapInArrow(compare, f"{_SPANS}, odd binary"))
+    odd = checked.filter("odd is not null")
+    again = odd.groupBy("odd").agg(F.count("*").alias("n")).filter("n > 1").select("odd")
+    return checked.filter("odd is null").select("t", "low", "high").distinct().unionByName(odd.join(again, "odd").select("t", "low", "high"))
+
+
+def substring_dedup(docs: DataFrame, group_rows: int = GROUP_ROWS, hash_bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans for every row of ``docs``.
 
     A byte goes when a string of LENGTH bytes that covers it starts anywhere else too, in whichever text; spans are the maximal runs of such
     bytes. A null text is empty; texts under LENGTH bytes lose nothing; equal texts of at least that lose everything; rows that repeat a
     doc_id count as texts of their own. Other columns are not looked at; an empty table gives no rows. Different texts are kept once, by a
-    hash that is checked to tell them apart, in a table bucketed by it, so later joins do not move texts again.
+    hash that is checked to tell them apart, in a table bucketed by it, so later joins do not move texts again. ``hash_bits`` shortens the
+    hashes by which windows of common anchors meet; as these are compared, the result is the same.
     """
     spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
@@ -328,7 +375,7 @@ def substring_dedup(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     spans = sorted_group_spans(texts, shared.filter(F.col("members") <= group_rows))
     hot = shared.filter(F.col("members") > group_rows)
     if not hot.isEmpty():
-        spans = spans.unionByName(counted_window_spans(texts, hot))
+        spans = spans.unionByName(counted_window_spans(texts, hot, hash_bits))
     lists = materialise(spans).groupBy("t").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,11 +46,11 @@ def corpus(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("seed", "group_rows"), [(1, 50_000), (2, 50_000), (3, 5)])
-def test_all_windows(spark, seed, group_rows):
+@pytest.mark.parametrize(("seed", "group_rows", "bits"), [(1, 50_000, 64), (2, 50_000, 64), (3, 5, 64), (4, 5, 2), (5, 2, 0)])
+def test_all_windows(spark, seed, group_rows, bits):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, n_removed int").repartition(3)
-    assert got(docs, group_rows=group_rows) == brute(rows)
+    assert got(docs, group_rows=group_rows, hash_bits=bits) == brute(rows)
 
 
 def test_documents(spark, sf_dir):
