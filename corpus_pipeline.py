@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelight.llm.common import materialise, read_table, work_path
+from framelight.llm.common import materialise, read_table
 from framelight.llm.decontaminate import mark_contamination
 from framelight.llm.exact_dedup import exact_dedup
 from framelight.llm.ngram_jaccard import ngram_jaccard
@@ -71,8 +71,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = work_path(spark)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir))
     return docs

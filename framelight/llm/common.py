@@ -36,9 +36,19 @@ def work_path(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared work folder and reads it back: lineage ends there and survives lost executors."""
+    """Writes ``df`` to the shared work folder and reads it back: lineage ends there and survives lost executors.
+
+    The shuffle files that led there are removed once the table is written, as nothing reads them again; else they would fill the disks
+    until the driver happens to collect its garbage.
+    """
     spark, path = df.sparkSession, work_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

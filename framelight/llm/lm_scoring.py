@@ -102,17 +102,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array
             yield key.digest(), texts, fold[a:b], a, b, batch
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Written to the shared work folder; the shuffle files that led there are removed, as nothing reads them again."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
-    try:
-        return materialise(df)
-    finally:
-        conf.set(name, before)
-
-
 def count_grams(docs: DataFrame, width: int) -> DataFrame:
     """Blobs of every token's counts of its uni-, bi- and trigram in the training documents; of totals; and of the tuning fold's counts.
 
@@ -195,9 +184,9 @@ def count_grams(docs: DataFrame, width: int) -> DataFrame:
                 contexts = [np.where(first, -1, np.concatenate([[0], x[:-1]]))[tuning] for x in main[:2]]
                 yield _blobs([(0, b"", _TEXTS, _pack(ids, null, fold, np.bincount(row, minlength=len(fold)), *every)), (0, b"", _TUNING, _pack(*(x[tuning] for x in main), *contexts))])
 
-    told = _settled(blob_shuffle(docs.select("text", "fold").mapInArrow(ask, _BLOBS), width).mapInArrow(count, _BLOBS))
+    told = materialise(blob_shuffle(docs.select("text", "fold").mapInArrow(ask, _BLOBS), width).mapInArrow(count, _BLOBS))
     texts = docs.select("text", "fold", F.col("doc_id").cast("long")).mapInArrow(texts_of, _BLOBS)
-    return _settled(blob_shuffle(told.unionByName(texts), width).mapInArrow(meet, _BLOBS))
+    return materialise(blob_shuffle(told.unionByName(texts), width).mapInArrow(meet, _BLOBS))
 
 
 def _level(count: np.ndarray) -> np.ndarray:
