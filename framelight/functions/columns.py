@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value worked out once a row; a lambda works out what it takes from outside again for each element."""
+    return F.transform(F.array(x), use)[0]
+
+
 def doubles(v: Column | str) -> Column:
     return F.transform(col(v), lambda x: x.cast("double"))
 
@@ -45,15 +51,15 @@ def cosine_similarity_strict(a: Column | str, b: Column | str) -> Column:
 
 def l2_normalise(v: Column | str) -> Column:
     """Unit vector; an error for a zero vector."""
-    v = doubles(v)
-    n = norm(v)
-    return F.when(n == 0, F.raise_error(F.lit("zero vector"))).otherwise(F.transform(v, lambda x: x / n))
+    over = lambda v, n: F.when(n == 0, F.raise_error(F.lit("zero vector"))).otherwise(F.transform(v, lambda x: x / n))
+    return let(doubles(v), lambda v: let(norm(v), lambda n: over(v, n)))
 
 
 def fake_embedding(pixels: Column | str, dimension: int) -> Column:
     """A unit vector of the bytes of SHA-256 over the pixels and a four-byte block number: the same pixels give the same vector."""
     digest = F.concat(*[F.sha2(F.concat(col(pixels), F.unhex(F.lit(f"{block:08x}"))), 256) for block in range((dimension + 31) // 32)])
-    return l2_normalise(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255))
+    byte = lambda d, i: F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("double")
+    return l2_normalise(let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: byte(d, i) / 255)))
 
 
 def clamp01(x: Column) -> Column:

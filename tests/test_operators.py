@@ -1,5 +1,6 @@
 """Order-dependent and non-SQL operators against folds in plain Python, and the reference's numeric examples."""
 
+import hashlib
 import random
 import uuid
 from math import ceil
@@ -253,3 +254,23 @@ def test_detail_pages_with_nothing_in_them(spark):
     odd = spark.createDataFrame([(1, r"https:\/\/c\/a\Eb(\/xv_2_t.jpg", r"https://c/a\Eb(/xv_1_t.jpg", 10)], "page_id long, html string, thumbnail_url string, duration_ms long")
     assert [(r["position"], r["url"], r["timestamp_ms"]) for r in details.thumbnail_gallery(odd).collect()] == [(2, r"https://c/a\Eb(/xv_2_t.jpg", 9)]
     assert details.page_chain(pages.selectExpr("'s' as source", "page_url as path", "html"), spark.createDataFrame([("s", "/x")], "source string, path string"), 3).count() == 0
+
+
+def test_fake_embedding_works_each_row_out_once(spark):
+    """Pixels drawn at random at every evaluation: a vector of several draws is that of neither value, or not of unit length."""
+
+    def expected(pixels, n):
+        raw = b"".join(hashlib.sha256(pixels + block.to_bytes(4, "big")).digest() for block in range((n + 31) // 32))
+        v = np.frombuffer(raw[:n], np.uint8) / 255
+        return v / np.linalg.norm(v)
+
+    for n in (1, 31, 32, 33, 40, 768):
+        assert np.allclose(one(spark, C.fake_embedding(F.lit(b"pixels"), n)), expected(b"pixels", n), rtol=0, atol=1e-12)
+    assert one(spark, C.fake_embedding(F.lit(None).cast("binary"), 40)[39]) is None
+    drawn = F.when(F.rand(7) < 0.5, F.lit(b"a")).otherwise(F.lit(b"b"))
+    rows = spark.range(20).select(C.fake_embedding(drawn, 32).alias("v")).collect()
+    assert all(any(np.allclose(r.v, expected(p, 32), rtol=0, atol=1e-12) for p in (b"a", b"b")) for r in rows)
+    units = spark.range(20).select(C.l2_normalise(F.array(*[F.rand(i) for i in range(8)])).alias("v")).collect()
+    assert all(np.linalg.norm(r.v) == pytest.approx(1) for r in units)
+    with pytest.raises(Exception, match="zero vector"):
+        one(spark, C.l2_normalise(F.array(F.lit(0.0), F.lit(0.0))))
